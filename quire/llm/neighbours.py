@@ -35,7 +35,7 @@ K = 20
 SAMPLE = 20_000
 PER_CELL, MAX_CELLS = 1000, 1024
 #: Cells that a query looks into: this part of all, and so many at least.
-PROBE_SHARE, LEAST_PROBES = 0.35, 16
+PROBE_SHARE, LEAST_PROBES = 0.75, 16
 #: Width of the error bound in standard deviations of the estimate.
 SIGMAS = 3.0
 SUB, QUERY_SUB, QUERY_BLOCK = 8192, 2048, 256
