@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from .common import Workspace, bounded_broadcast, read
 
 LENGTH, SEED = 100, 16
-CHUNK, SHARD, BLOCK = 1 << 20, 1 << 18, 1 << 22
+CHUNK, SHARD, BLOCK = 1 << 20, 1 << 16, 1 << 19
 STEP = 3
 BROADCAST_DOCS = 300_000
 U64 = np.uint64
