@@ -10,8 +10,10 @@ meet, and each meeting place is settled by merging transforms:
 2. Equal runs. Of runs with equal text all but the first are repeats as a whole. Within
    each batch this is settled before the shuffle, so a passage that a third of all
    documents share costs one row a batch.
-3. Unequal runs with one minimiser may share strings in part. The first copy of each is
-   fetched with its text. A task splits its texts into shards, sorts each shard's
+3. Unequal runs with one minimiser may share strings in part. A shared string has the
+   minimiser and half of the rest of its bytes on one side of it, so only runs that
+   agree with another in a hash of either side are of interest. The first copy of each
+   is fetched with its text. A task splits its texts into shards, sorts each shard's
    suffixes, takes the shards' Burrows-Wheeler transforms and merges them by refining
    the interleave STEP symbols a round: the shard that each place belongs to is dealt
    out anew, stably, by the symbols before it. No suffix is compared or sorted again.
@@ -45,6 +47,8 @@ CHUNK, SHARD, BLOCK = 1 << 20, 1 << 16, 1 << 19
 STEP = 3
 BROADCAST_DOCS = 300_000
 U64 = np.uint64
+#: Bits of a minimiser that hold its place in the chunk.
+PLACE = U64((1 << 21) - 1)
 _A, _B, _C = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0xD6E8FEB86659FD93)
 
 
@@ -58,7 +62,7 @@ def _sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """Runs of the strings of all texts: (text index, start, strings, minimiser, text hash), as arrays.
+    """Runs of the strings of all texts, as arrays: text index, start, strings, minimiser, text hash, context hashes.
 
     Work goes by chunks of about CHUNK bytes. A longer text is several parts that overlap
     by length - 1, so that every string is in one part; that only ends some runs early.
@@ -66,21 +70,35 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     parts = [(i, at, t[at : at + CHUNK + length - 1]) for i, t in enumerate(texts) for at in range(0, max(1, len(t)), CHUNK)]
     found: list[tuple] = []
     chunk: list[tuple[int, int, bytes]] = []
-    for k, part in enumerate(parts):
-        chunk.append(part)
-        if k == len(parts) - 1 or sum(len(p[2]) for p in chunk[-1:]) >= CHUNK or len(chunk) % 64 == 0 and sum(len(p[2]) for p in chunk) >= CHUNK:
+    size = 0
+    for part in [*parts, None]:
+        if chunk and (part is None or size + len(part[2]) > CHUNK):
             of, base = np.array([p[0] for p in chunk]), np.array([p[1] for p in chunk])
             which, start, *rest = _runs([p[2] for p in chunk], length)
             found.append((of[which], start + base[which], *rest))
-            chunk = []
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(np.empty(0, np.int64) for _ in range(5))
+            chunk, size = [], 0
+        if part is not None:
+            chunk.append(part)
+            size += len(part[2])
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else tuple(np.empty(0, np.int64) for _ in range(7))
+
+
+def _context(words: np.ndarray, at: np.ndarray, size: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """32-bit hashes of the size bytes from at on; -1 where they don't lie within first and end."""
+    inside = (at >= first) & (at + size <= end)
+    at = np.where(inside, at, 0)
+    h = np.full(len(at), size, U64)
+    for offset in (*range(0, size - 7, 8), size - 8):
+        h = (h ^ words[np.minimum(at + offset, len(words) - 1)]) * _C
+        h ^= h >> U64(31)
+    return np.where(inside, (h >> U64(33)).astype(np.int64), -1)
 
 
 def _runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     raw = b"".join(texts)
     sizes = np.array([len(t) for t in texts])
     first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    none = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.int64))
+    none = tuple(np.empty(0, np.int64) for _ in range(7))
     if len(raw) < length:
         return none
     x = np.frombuffer(raw, np.uint8).astype(U64)
@@ -90,30 +108,33 @@ def _runs(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     v = x[: 8 - SEED] * _A ^ x[SEED - 8 :] * _B
     v ^= v >> U64(32)
     v *= _C
-    v ^= v >> U64(29)
+    v = v & ~PLACE | np.arange(len(v), dtype=U64)  # of equal grams the leftmost is smallest
     m = _sliding_min(v, length - SEED + 1)
     strings = np.maximum(0, sizes - length + 1)
-    edge = np.zeros(len(m) + 1, np.int32)
     has = strings > 0
+    edge = np.zeros(len(m) + 1, np.int32)
     np.add.at(edge, first[has], 1)
     np.add.at(edge, (first + strings)[has], -1)
     valid = np.cumsum(edge[:-1]) > 0
     starts = np.ones(len(m), bool)
-    starts[1:] = (m[1:] != m[:-1]) | (v[: len(m) - 1] == m[:-1])
+    starts[1:] = m[1:] != m[:-1]
     starts[first[has]] = True
     spots = np.flatnonzero(starts & valid)
     if not len(spots):
         return none
     rank = np.cumsum(valid)
-    place = rank[spots]
-    many = np.diff(np.append(place, rank[-1] + 1))
+    many = np.diff(np.append(rank[spots], rank[-1] + 1))
     view = memoryview(raw)
     digest = xxhash.xxh3_64_intdigest
     marks = np.fromiter(
         (digest(view[a:b]) for a, b in zip(spots.tolist(), (spots + many + length - 1).tolist())), U64, len(spots)
     )
     doc = np.searchsorted(first, spots, side="right") - 1
-    return doc, spots - first[doc], many, m[spots].view(np.int64), marks.view(np.int64)
+    gram = (m[spots] & PLACE).astype(np.int64)
+    half, end = (length - SEED) // 2, first[doc] + sizes[doc]
+    right = _context(x, gram, half + SEED, first[doc], end)
+    left = _context(x, gram - half, half + SEED, first[doc], end)
+    return doc, spots - first[doc], many, (m[spots] >> U64(21)).view(np.int64), marks.view(np.int64), right, left
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,10 +157,10 @@ def _cutter(length: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = [x or b"" for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
-            doc, start, many, key, mark = runs(texts, length)
+            doc, start, many, key, mark, right, left = runs(texts, length)
             doc = ids[doc].astype(np.int64) if len(doc) else doc
             order = np.lexsort((start, doc, mark, key))
-            doc, start, many, key, mark = (x[order] for x in (doc, start, many, key, mark))
+            doc, start, many, key, mark, right, left = (x[order] for x in (doc, start, many, key, mark, right, left))
             same = np.zeros(len(key), bool)
             same[1:] = (key[1:] == key[:-1]) & (mark[1:] == mark[:-1])
             twin = same.copy()  # the same place again: a repeated row
@@ -151,10 +172,10 @@ def _cutter(length: int):
                 [
                     pa.array(np.concatenate([doc[one], d]), pa.int64()), pa.array(np.concatenate([start[one], s]), pa.int64()),
                     pa.array(np.concatenate([many[one], e]), pa.int64()),
-                    pa.concat_arrays([pa.array(key[one], pa.int64()), pa.nulls(len(d), pa.int64())]),
-                    pa.concat_arrays([pa.array(mark[one], pa.int64()), pa.nulls(len(d), pa.int64())]),
+                    *(pa.concat_arrays([pa.array(c[one], pa.int64()), pa.nulls(len(d), pa.int64())]) for c in (key, mark)),
+                    *(pa.concat_arrays([pa.array(c[one], pa.int32(), mask=c[one] < 0), pa.nulls(len(d), pa.int32())]) for c in (right, left)),
                 ],
-                names=["doc_id", "start", "many", "key", "mark"],
+                names=["doc_id", "start", "many", "key", "mark", "right", "left"],
             )
 
     return cut
@@ -302,16 +323,17 @@ def _resolver(length: int):
 def repeated_spans(docs: DataFrame, space: Workspace, length: int = LENGTH) -> DataFrame:
     """(doc_id, spans) of every document with repeats; spans may still overlap."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = space.write(docs.mapInArrow(_cutter(length), "doc_id long, start long, many long, key long, mark long"), "runs")
+    cut = space.write(docs.mapInArrow(_cutter(length), "doc_id long, start long, many long, key long, mark long, right int, left int"), "runs")
     by_text, by_key = W.partitionBy("key", "mark").orderBy("doc_id", "start"), W.partitionBy("key")
     ranked = (
         cut.filter("key IS NOT NULL").withColumn("place", F.rank().over(by_text))
         .withColumn("lo", F.min("mark").over(by_key)).withColumn("hi", F.max("mark").over(by_key))
         .filter("place > 1 OR lo <> hi")
-        .select("doc_id", "start", (F.col("start") + F.col("many") + length - 1).alias("end"), "key", (F.col("place") > 1).alias("known"))
+        .select("doc_id", "start", (F.col("start") + F.col("many") + length - 1).alias("end"), "key", "right", "left", (F.col("place") > 1).alias("known"))
     )
     ranked = space.write(ranked, "ranked")
-    wanted = ranked.filter("NOT known").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "end")).alias("wanted"))
+    meets = F.greatest(*[F.count(side).over(W.partitionBy("key", side)) for side in ("right", "left")]) > 1
+    wanted = ranked.filter("NOT known").withColumn("meets", meets).filter("meets").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "end")).alias("wanted"))
     fetched = docs.join(bounded_broadcast(space.write(wanted, "wanted"), BROADCAST_DOCS), "doc_id").select("doc_id", "text", "wanted")
     texts = fetched.mapInArrow(_fetcher, "key long, doc_id long, start long, run binary")
     partly = texts.repartition("key").sortWithinPartitions("key").mapInArrow(_resolver(length), "doc_id long, start long, end long")
