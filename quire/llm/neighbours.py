@@ -5,7 +5,9 @@ bound; every vector is indexed). What is left of a vector beyond its centroid is
 at random and stored as one bit a dimension, with two correction scalars: its norm, and
 its inner product with its own code. For a query, the packed bits give an estimate of
 each inner product and a bound on its error; vectors whose upper bound reaches the k-th
-largest lower bound are reranked on the original vectors in double precision.
+largest lower bound are reranked on the original vectors in double precision. A query
+also brings the k-th best inner product it has within the sample, and results below it
+never leave a task.
 
 Equal vectors are one entry of the index that keeps its k + 1 smallest ids, all that any
 result can name, and equal queries are searched once; so a vector that a third of all
@@ -109,15 +111,25 @@ def _encoder(index: Index):
     return encode
 
 
-def _prober(index: Index, probes: int):
+def _prober(index: Index, probes: int, sample: np.ndarray, k: int):
+    """(quid, v) to the cells to look into and a floor: the k-th best inner product within the sample, which no result falls below."""
+    known = sample.astype(np.float32)
+    slack = 1e-5 * float(np.sqrt((sample**2).sum(1)).max())
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            near = _matrix(batch.column(1)) @ index.centroids.T
-            cells = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+            q = _matrix(batch.column(1))
+            cells = np.argsort(-(q @ index.centroids.T), axis=1, kind="stable")[:, :probes]
+            floor = np.full(len(q), -np.inf)
+            if len(known) >= k:
+                for a in range(0, len(q), QUERY_BLOCK):
+                    best = np.partition(q[a : a + QUERY_BLOCK].astype(np.float32) @ known.T, len(known) - k, axis=1)[:, len(known) - k]
+                    floor[a : a + QUERY_BLOCK] = best - slack * np.sqrt((q[a : a + QUERY_BLOCK] ** 2).sum(1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cells.tolist(), pa.list_(pa.int32()))], names=["quid", "v", "cells"]
+                [batch.column(0), batch.column(1), pa.array(cells.tolist(), pa.list_(pa.int32())), pa.array(floor, pa.float64())],
+                names=["quid", "v", "cells", "floor"],
             )
 
     return probe
@@ -132,15 +144,16 @@ class _Block:
         self.code = np.frombuffer(b"".join(code), np.uint8).reshape(len(code), -1)
         self.norm, self.corr, self.v = np.array(norm), np.array(corr), np.array(v)
 
-    def search(self, quid: list[int], q: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
+    def search(self, quid: list[int], q: np.ndarray, floor: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
         estimate, error = self.index.bounds(self.code, self.norm, self.corr, self.cell, q)
         n = len(self.norm)
-        floor = np.partition(estimate - error, n - k, axis=1)[:, n - k] if n > k else np.full(len(q), -np.inf)
-        qi, vi = np.nonzero(estimate + error >= floor[:, None])
+        lowest = np.maximum(floor, np.partition(estimate - error, n - k, axis=1)[:, n - k]) if n > k else floor
+        qi, vi = np.nonzero(estimate + error >= lowest[:, None])
         score = np.zeros(len(qi))
         for j in range(q.shape[1]):  # one order of summation for all, whatever their place
             score += q[qi, j] * self.v[vi, j]
         order = np.lexsort((-score, qi))
+        order = order[(score >= floor[qi])[order]]
         qi, vi, score = qi[order], vi[order], score[order]
         edges = np.searchsorted(qi, np.arange(len(q) + 1))
         for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
@@ -160,12 +173,13 @@ def _searcher(index: Index, k: int):
         task, rows, block = None, [], None
         quid: list[int] = []
         q: list = []
+        floor: list[float] = []
 
         def answer() -> pa.RecordBatch:
-            found = list(block.search(quid, np.array(q), k)) if block and quid else []
+            found = list(block.search(quid, np.array(q), np.array(floor), k)) if block and quid else []
             a, b, c = zip(*found) if found else ((), (), ())
-            quid.clear()
-            q.clear()
+            for x in (quid, q, floor):
+                x.clear()
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["quid", "vec_id", "score"])
 
         for batch in batches:
@@ -180,6 +194,7 @@ def _searcher(index: Index, k: int):
                     block, rows = _Block(index, cell, rows), []
                 quid.append(uid)
                 q.append(v)
+                floor.append(norm)
                 if len(quid) >= QUERY_BLOCK:
                     yield answer()
         yield answer()
@@ -204,12 +219,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     sample = entries.orderBy(F.xxhash64("uid")).limit(SAMPLE).select("v").collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = Index(np.array([r["v"] for r in sample]), max(1, min(MAX_CELLS, n // PER_CELL)))
+    sample = np.array([r["v"] for r in sample])
+    index = Index(sample, max(1, min(MAX_CELLS, n // PER_CELL)))
     cells = len(index.centroids)
     probes = min(cells, max(LEAST_PROBES, int(np.ceil(PROBE_SHARE * cells))))
     coded = space.write(entries.select("uid", "v", "ids").mapInArrow(_encoder(index), CODE), "coded")
-    probing = heads.select("quid", "v").filter(F.size("v") == len(sample[0]["v"])).mapInArrow(_prober(index, probes), "quid long, v array<double>, cells array<int>")
-    probing = space.write(probing.select("quid", "v", F.explode("cells").alias("cell")), "probing")
+    probing = heads.select("quid", "v").filter(F.size("v") == sample.shape[1]).mapInArrow(
+        _prober(index, probes, sample, k + 1), "quid long, v array<double>, cells array<int>, floor double"
+    )
+    probing = space.write(probing.select("quid", "v", "floor", F.explode("cells").alias("cell")), "probing")
     subs, query_subs = ([max(1, -(-found.get(c, 0) // size)) for c in range(cells)] for found, size in (
         ({r["cell"]: r["count"] for r in coded.groupBy("cell").count().collect()}, SUB),  # a row a cell
         ({r["cell"]: r["count"] for r in probing.groupBy("cell").count().collect()}, QUERY_SUB),
@@ -219,7 +237,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     every = lambda counts: F.explode(F.sequence(F.lit(0), of(counts) - 1))
     rows = coded.withColumn("sub", mark("uid", subs)).withColumn("query_sub", every(query_subs)).withColumn("kind", F.lit(0))
     asks = probing.withColumn("query_sub", mark("quid", query_subs)).withColumn("sub", every(subs)).select(
-        "cell", F.col("quid").alias("uid"), F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("norm"),
+        "cell", F.col("quid").alias("uid"), F.lit(None).cast("binary").alias("code"), F.col("floor").alias("norm"),
         F.lit(None).cast("double").alias("corr"), "v", F.lit(None).cast("array<long>").alias("ids"), "sub", "query_sub", F.lit(1).alias("kind"),
     )
     task = F.concat_ws("/", "cell", "sub", "query_sub").alias("task")
