@@ -45,7 +45,10 @@ from .common import Workspace, bounded_broadcast, read
 LENGTH, SEED = 100, 16
 CHUNK, SHARD, BLOCK = 1 << 20, 1 << 16, 1 << 19
 STEP = 3
-BROADCAST_DOCS = 300_000
+#: Bytes of text that a worker cuts into runs at once.
+PART = 4 << 20
+#: Documents, and items of lists by document, up to which a table is broadcast.
+BROADCAST_DOCS, BROADCAST_ITEMS = 300_000, 400_000
 U64 = np.uint64
 #: Bits of a minimiser that hold its place in the chunk.
 PLACE = U64((1 << 21) - 1)
@@ -153,12 +156,24 @@ def _merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
 def _cutter(length: int):
     """(doc_id, text) to runs (key and mark set) and to spans known to be repeats (key null; many: the span's end)."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [x or b"" for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            ids, texts, size = [], [], 0
+            for doc_id, text in zip(batch.column(0), batch.column(1).cast(pa.large_binary())):
+                ids.append(doc_id.as_py())
+                texts.append(text.as_py() or b"")
+                size += len(texts[-1])
+                if size >= PART:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
+            if texts:
+                yield ids, texts
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for names, texts in parts(batches):
+            ids = np.array([-1 if x is None else x for x in names], np.int64)
             doc, start, many, key, mark, right, left = runs(texts, length)
-            doc = ids[doc].astype(np.int64) if len(doc) else doc
+            doc = ids[doc]
             order = np.lexsort((start, doc, mark, key))
             doc, start, many, key, mark, right, left = (x[order] for x in (doc, start, many, key, mark, right, left))
             same = np.zeros(len(key), bool)
@@ -321,7 +336,7 @@ def _resolver(length: int):
 
 
 def repeated_spans(docs: DataFrame, space: Workspace, length: int = LENGTH) -> DataFrame:
-    """(doc_id, spans) of every document with repeats; spans may still overlap."""
+    """(doc_id, spans) of every document with repeats."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     cut = space.write(docs.mapInArrow(_cutter(length), "doc_id long, start long, many long, key long, mark long, right int, left int"), "runs")
     by_text, by_key = W.partitionBy("key", "mark").orderBy("doc_id", "start"), W.partitionBy("key")
@@ -334,15 +349,39 @@ def repeated_spans(docs: DataFrame, space: Workspace, length: int = LENGTH) -> D
     ranked = space.write(ranked, "ranked")
     meets = F.greatest(*[F.count(side).over(W.partitionBy("key", side)) for side in ("right", "left")]) > 1
     wanted = ranked.filter("NOT known").withColumn("meets", meets).filter("meets").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "end")).alias("wanted"))
-    fetched = docs.join(bounded_broadcast(space.write(wanted, "wanted"), BROADCAST_DOCS), "doc_id").select("doc_id", "text", "wanted")
+    fetched = _with_list(docs, space.write(wanted, "wanted"), "wanted")
     texts = fetched.mapInArrow(_fetcher, "key long, doc_id long, start long, run binary")
     partly = texts.repartition("key").sortWithinPartitions("key").mapInArrow(_resolver(length), "doc_id long, start long, end long")
     spans = (
-        space.write(partly, "partly")
-        .union(ranked.filter("known").select("doc_id", "start", "end"))
+        partly.union(ranked.filter("known").select("doc_id", "start", "end"))
         .union(cut.filter("key IS NULL").select("doc_id", "start", F.col("many").alias("end")))
     )
-    return space.write(spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    found = space.write(grouped.mapInArrow(_joiner, "doc_id long, spans array<struct<start:long,end:long>>"), "spans")
+    for name in ("runs", "ranked", "wanted"):
+        space.drop(name)
+    return found
+
+
+def _with_list(docs: DataFrame, lists: DataFrame, column: str) -> DataFrame:
+    """Documents (doc_id, text) that have a list: joined by broadcast if ids and items are few.
+
+    If only the ids are few, they thin the documents out before the shuffle.
+    """
+    size = lists.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size(column)), F.lit(0)).alias("items")).first()
+    if size["items"] <= BROADCAST_ITEMS:
+        lists = F.broadcast(lists)
+    elif size["docs"] <= BROADCAST_DOCS:
+        docs = docs.join(F.broadcast(lists.select("doc_id")), "doc_id", "left_semi")
+    return docs.join(lists, "doc_id").select("doc_id", "text", column)
+
+
+def _joiner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each document joined to the longest there are."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    for batch in batches:
+        spans = [[{"start": a, "end": b} for a, b in _joined(x)] for x in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
 
 
 def _joined(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -389,7 +428,10 @@ def _whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    spans = bounded_broadcast(spans.withColumnRenamed("doc_id", "_span_id").withColumnRenamed("spans", "_spans"), BROADCAST_DOCS)
+    items = spans.limit(BROADCAST_DOCS + 1).agg(F.sum(F.size("spans"))).first()[0] or 0
+    spans = spans.withColumnRenamed("doc_id", "_span_id").withColumnRenamed("spans", "_spans")
+    if items <= BROADCAST_ITEMS:
+        spans = bounded_broadcast(spans, BROADCAST_DOCS)
     return docs.join(spans, docs["doc_id"] == F.col("_span_id"), "left").drop("_span_id")
 
 
