@@ -47,8 +47,8 @@ CHUNK, SHARD, BLOCK = 1 << 20, 1 << 16, 1 << 19
 STEP = 3
 #: Bytes of text that a worker cuts into runs at once.
 PART = 4 << 20
-#: Documents, and items of lists by document, up to which a table is broadcast.
-BROADCAST_DOCS, BROADCAST_ITEMS = 300_000, 400_000
+#: Documents, runs to fetch and spans up to which a table is broadcast.
+BROADCAST_DOCS, BROADCAST_RUNS, BROADCAST_ITEMS = 300_000, 50_000, 400_000
 U64 = np.uint64
 #: Bits of a minimiser that hold its place in the chunk.
 PLACE = U64((1 << 21) - 1)
@@ -369,7 +369,7 @@ def _with_list(docs: DataFrame, lists: DataFrame, column: str) -> DataFrame:
     If only the ids are few, they thin the documents out before the shuffle.
     """
     size = lists.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size(column)), F.lit(0)).alias("items")).first()
-    if size["items"] <= BROADCAST_ITEMS:
+    if size["items"] <= BROADCAST_RUNS:
         lists = F.broadcast(lists)
     elif size["docs"] <= BROADCAST_DOCS:
         docs = docs.join(F.broadcast(lists.select("doc_id")), "doc_id", "left_semi")
