@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import lean, read
 from .labelled import held_out, logistic, sample, sigmoid
 
 MAX_DOCS = 4000
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model |
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
     """(doc_id, score) of every document."""
-    return docs.select("doc_id", "text").mapInArrow(scorer(model), "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(scorer(model)), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model | float, threshold: float = THRESHOLD) -> DataFrame:
@@ -186,7 +186,7 @@ def keep_good(docs: DataFrame, model: Model | float, threshold: float = THRESHOL
             scores = next(scorer(model)(iter([pair]))).column(1)
             yield batch.filter(pa.array([s >= threshold for s in scores.to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_broadcast, read
+from .common import Workspace, bounded_broadcast, lean, read
 from .graph import components
 
 ROWS = 3
@@ -45,7 +45,7 @@ BROADCAST_MEMBERS = 400_000
 FANOUT = 8
 U64 = np.uint64
 _P, _C = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
-_MAX_WORDS = 500_000
+_MAX_WORDS = 200_000
 
 
 class _Words(dict):
@@ -120,6 +120,7 @@ def _signer(k: int, threshold: float):
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["doc_id", "n", "digest", "keys"],
             )
+        _words.clear()
 
     return sign
 
@@ -254,14 +255,14 @@ def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFra
     """members (rep, digest, task, known) to links (a, b) within each task; texts are read again for members alone."""
     texts = docs.select(F.col("doc_id").alias("rep"), "text").join(bounded_broadcast(members, BROADCAST_MEMBERS), "rep")
     dealt = texts.select("rep", "digest", "task", "known", "text").repartition("task").sortWithinPartitions("task")
-    return dealt.mapInArrow(_joiner(k, percent), "a long, b long")
+    return dealt.mapInArrow(lean(_joiner(k, percent)), "a long, b long")
 
 
 def ngram_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
     space = Workspace(docs.sparkSession, "ngram")
     docs = docs.select("doc_id", "text")
-    light = space.write(docs.mapInArrow(_signer(k, percent / 100), "doc_id long, n long, digest binary, keys array<long>"), "light")
+    light = space.write(docs.mapInArrow(lean(_signer(k, percent / 100)), "doc_id long, n long, digest binary, keys array<long>"), "light")
     classes = space.write(
         light.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes"
     )

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, read
+from .common import Workspace, lean, read
 
 CAPACITY = 2048
 END_ID = 1
@@ -162,7 +162,7 @@ def pack_open(group: pd.DataFrame) -> pd.DataFrame:
 def pack(docs: DataFrame, keep_ids: bool = True) -> DataFrame:
     """Every piece with its place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, class, ids."""
     space = Workspace(docs.sparkSession, "pack")
-    dealt = space.write(docs.select("doc_id", "text").mapInArrow(packer(keep_ids), PIECE), "pieces")
+    dealt = space.write(docs.select("doc_id", "text").mapInArrow(lean(packer(keep_ids)), PIECE), "pieces")
     late = dealt.filter("sequence_id IS NULL").groupBy(F.expr(f"part div {GROUP}").alias("batch"))
     return (
         dealt.filter("sequence_id IS NOT NULL").unionByName(late.applyInPandas(pack_open, PIECE))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, bounded_broadcast, read
+from .common import Workspace, bounded_broadcast, lean, read
 
 LENGTH, SEED = 100, 16
 CHUNK, SHARD, BLOCK = 1 << 20, 1 << 16, 1 << 19
@@ -338,7 +338,7 @@ def _resolver(length: int):
 def repeated_spans(docs: DataFrame, space: Workspace, length: int = LENGTH) -> DataFrame:
     """(doc_id, spans) of every document with repeats."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    cut = space.write(docs.mapInArrow(_cutter(length), "doc_id long, start long, many long, key long, mark long, right int, left int"), "runs")
+    cut = space.write(docs.mapInArrow(lean(_cutter(length), 1 << 14), "doc_id long, start long, many long, key long, mark long, right int, left int"), "runs")
     by_text, by_key = W.partitionBy("key", "mark").orderBy("doc_id", "start"), W.partitionBy("key")
     ranked = (
         cut.filter("key IS NOT NULL").withColumn("place", F.rank().over(by_text))
@@ -350,14 +350,14 @@ def repeated_spans(docs: DataFrame, space: Workspace, length: int = LENGTH) -> D
     meets = F.greatest(*[F.count(side).over(W.partitionBy("key", side)) for side in ("right", "left")]) > 1
     wanted = ranked.filter("NOT known").withColumn("meets", meets).filter("meets").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "end")).alias("wanted"))
     fetched = _with_list(docs, space.write(wanted, "wanted"), "wanted")
-    texts = fetched.mapInArrow(_fetcher, "key long, doc_id long, start long, run binary")
-    partly = texts.repartition("key").sortWithinPartitions("key").mapInArrow(_resolver(length), "doc_id long, start long, end long")
+    texts = fetched.mapInArrow(lean(_fetcher), "key long, doc_id long, start long, run binary")
+    partly = texts.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_resolver(length), 1 << 14), "doc_id long, start long, end long")
     spans = (
         partly.union(ranked.filter("known").select("doc_id", "start", "end"))
         .union(cut.filter("key IS NULL").select("doc_id", "start", F.col("many").alias("end")))
     )
     grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    found = space.write(grouped.mapInArrow(_joiner, "doc_id long, spans array<struct<start:long,end:long>>"), "spans")
+    found = space.write(grouped.mapInArrow(lean(_joiner), "doc_id long, spans array<struct<start:long,end:long>>"), "spans")
     for name in ("runs", "ranked", "wanted"):
         space.drop(name)
     return found
@@ -456,11 +456,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
-    out = _with_spans(docs, repeated_spans(docs, space, length)).mapInArrow(cut, docs.schema)
+    out = _with_spans(docs, repeated_spans(docs, space, length)).mapInArrow(lean(cut), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     spans = repeated_spans(docs, Workspace(spark, "suffix"))
-    return _with_spans(docs, spans).mapInArrow(_reporter, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, spans).mapInArrow(lean(_reporter), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import lean, read
 
 #: Shift of the Zipf-Mandelbrot law.
 SHIFT = 2.7
@@ -136,7 +136,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def count_tokens(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_tokens) of every document."""
-    return docs.select("doc_id", "text").mapInArrow(_count, "doc_id long, n_words long, n_tokens long")
+    return docs.select("doc_id", "text").mapInArrow(lean(_count), "doc_id long, n_words long, n_tokens long")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

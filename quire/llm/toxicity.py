@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import lean, read
 from .labelled import held_out, logistic, sample, sigmoid
 
 MAX_DOCS = 4000
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Model |
 
 def score(docs: DataFrame, model: Model | float) -> DataFrame:
     """(doc_id, score) of every document."""
-    return docs.select("doc_id", "text").mapInArrow(scorer(model), "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(scorer(model)), "doc_id long, score double")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
