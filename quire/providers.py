@@ -1,0 +1,104 @@
+"""Models and readers behind small interfaces, with deterministic defaults that need no network."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+
+def tolerant_json(text: str):
+    """JSON from a model's answer: thinking, fences and trailing commas aside; {} if there is none."""
+    text = re.sub(r"(?s)<think>.*?</think>", "", text or "")
+    fenced = re.search(r"(?s)```(?:json)?\s*(.*?)```", text)
+    text = fenced.group(1) if fenced else text
+    for begin, end in ("{}", "[]"):
+        a, b = text.find(begin), text.rfind(end)
+        if 0 <= a < b:
+            body = re.sub(r",\s*([}\]])", r"\1", text[a : b + 1])
+            for old, new in (("None", "null"), ("True", "true"), ("False", "false")):
+                body = body.replace(old, new)
+            try:
+                return json.loads(body)
+            except ValueError:
+                continue
+    return {}
+
+
+@dataclass
+class Provider:
+    """What needs a model. Every part may be replaced; a default only reads the text."""
+
+    appears: Callable[[str, str], bool] = lambda title, page: title.strip().lower() in page.lower()
+    starts: Callable[[str, str], bool] = lambda title, page: page.strip().lower().startswith(title.strip().lower())
+    is_contents: Callable[[str], bool] = lambda page: sum(bool(re.search(r"[\s.]+\d{1,4}\s*$", x)) for x in page.splitlines()) >= 5
+    summarise: Callable[[str], str] = lambda text: " ".join(text.split())[:300]
+    sufficient: Callable[[str, list[dict]], dict] = lambda question, evidence: {"sufficient": bool(evidence), "search_query": ""}
+    claim: Callable[[str, list[dict]], list[dict]] = lambda question, evidence: [
+        {"text": e["text"][:200], "evidence_id": e["id"], "quote": e["text"][:60]} for e in evidence[:1]
+    ]
+    verify: Callable[[str, list[dict]], dict] = lambda question, claims: {
+        "supported": [True] * len(claims), "answers_question": bool(claims), "patient_specific_advice": False
+    }
+
+
+@dataclass
+class Answer:
+    status: str
+    citations: list[dict] = field(default_factory=list)
+
+
+PERSONAL = re.compile(r"\b(my|mine|me|i|our|we)\b", re.I)
+
+
+def ask(question: str, search: Callable[[str], list[dict]], provider: Provider | None, audience: str = "clinician", searches: int = 3, attempts: int = 2) -> Answer:
+    """One question: gate, search with up to two follow-ups, claims that quote their evidence, verification.
+
+    search gives chunks with chunk_id, text, n_tokens and source_spans (source_id, page, start, end).
+    """
+    if audience not in ("clinician", "patient") or not question.strip() or len(question) > 2000:
+        raise ValueError("an audience of clinician or patient, and a question of 1 to 2000 characters")
+    if audience == "patient" and PERSONAL.search(question):
+        return Answer("personal_question")
+    seen: dict[str, dict] = {}
+    query = question
+    for turn in range(searches):
+        for chunk in search(query):
+            seen[chunk["chunk_id"]] = chunk
+        if provider is None or turn == searches - 1:
+            break
+        verdict = provider.sufficient(question, list(seen.values()))
+        query = verdict.get("search_query") or ""
+        if verdict.get("sufficient") or not query:
+            break
+    if provider is None:
+        return Answer("not_configured")
+    evidence, used = [], 0
+    for chunk in seen.values():
+        if used + chunk["n_tokens"] <= 7000 and len(evidence) < 16:
+            evidence.append(chunk | {"id": f"E{len(evidence) + 1}"})
+            used += chunk["n_tokens"]
+    by_id = {e["id"]: e for e in evidence}
+    for _ in range(attempts):
+        try:
+            claims = []
+            for c in provider.claim(question, evidence):
+                e = by_id.get(c.get("evidence_id")) if isinstance(c, dict) else None
+                quote, text = (c.get("quote") or "", c.get("text") or "") if e else ("", "")
+                if not e or len(quote) < 12 or quote not in e["text"] or not text.strip() or re.search(r"\[E\d+\]", text):
+                    continue
+                span = next((s for s in e["source_spans"] if quote in e["text"][s["start"] : s["end"]]), None)
+                if span:
+                    claims.append(c | {"chunk_id": e["chunk_id"], "source_id": span["source_id"], "pdf_page": span["page"]})
+            verdict = provider.verify(question, claims)
+            if len(verdict["supported"]) != len(claims):
+                raise ValueError("a verdict for each claim")
+        except ValueError:
+            continue
+        except Exception:  # noqa: BLE001  any failure of a model is one status
+            return Answer("model_error")
+        approved = [c for c, ok in zip(claims, verdict["supported"]) if ok is True]
+        if approved and verdict["answers_question"] is True and not verdict["patient_specific_advice"]:
+            return Answer("answered", [c | {"id": f"E{i + 1}"} for i, c in enumerate(approved)])
+    return Answer("insufficient_evidence")
