@@ -310,7 +310,8 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without near copies: of every component the document with the smallest id."""
     space = Workspace(docs.sparkSession, "keep")
     found = space.write(ngram_components(docs, k, percent), "components")
-    kept = docs.join(found.filter("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    copies = bounded_broadcast(found.filter("doc_id <> component_id").select("doc_id").distinct(), BROADCAST_MEMBERS)
+    kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.groupBy("doc_id").count().filter("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
 
