@@ -48,7 +48,7 @@ STEP = 3
 #: Bytes of text that a worker cuts into runs at once.
 PART = 4 << 20
 #: Documents, runs to fetch and spans up to which a table is broadcast.
-BROADCAST_DOCS, BROADCAST_RUNS, BROADCAST_ITEMS = 300_000, 50_000, 400_000
+BROADCAST_DOCS, BROADCAST_RUNS, BROADCAST_ITEMS = 300_000, 10_000, 400_000
 U64 = np.uint64
 #: Bits of a minimiser that hold its place in the chunk.
 PLACE = U64((1 << 21) - 1)
