@@ -29,11 +29,11 @@ def label_histogram(records: DataFrame) -> DataFrame:
 
 
 def top_headings(records: DataFrame, k: int = 10) -> DataFrame:
-    """The headings repeated most, letter case aside; ties by first appearance."""
+    """The commonest headings, letter case aside; ties by first appearance."""
     heads = records.filter("label = 'section_header'").select("book", "rec_no", F.lower("text").alias("heading"))
     counts = heads.groupBy("book", "heading").agg(F.count(F.lit(1)).alias("n"), F.min("rec_no").alias("first_rec"))
     rank = F.row_number().over(W.partitionBy("book").orderBy(F.desc("n"), "first_rec"))
-    return counts.filter("n > 1").withColumn("rank", rank).filter(F.col("rank") <= k)
+    return counts.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def reference_fraction(records: DataFrame, is_reference: Column) -> DataFrame:

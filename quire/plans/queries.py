@@ -38,12 +38,12 @@ def bm25_topk(s, d):
     return retrieval.bm25(table(s, d, "documents"), V.questions(s, d)).select("query_id", "doc_id", "score", "rank")
 
 
-COSINE = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id < 10),
+COSINE = """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0),
  hits AS (SELECT query_id, vec_id, round(list_inner_product(embedding::DOUBLE[], q), 6) AS score FROM embeddings, q)"""
 
 
 def _asked_vectors(s, d):
-    return table(s, d, "embeddings").filter("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return table(s, d, "embeddings").filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 @query(COSINE, body=TOP10.format(k=50).replace("doc_id", "vec_id"))
@@ -106,7 +106,7 @@ def budget_select(s, d):
  UNION ALL SELECT query_id, doc_id, 1, 100 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id), score * 2 FROM hits WHERE doc_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5) x GROUP BY query_id, doc_id""")
 def union_seen(s, d):
     """Results of repeated searches: a document keeps its first place and its last value."""
-    hits = retrieval.bm25(table(s, d, "documents"), V.questions(s, d), k=1_000_000)
+    hits = retrieval.bm25(table(s, d, "documents"), V.questions(s, d), k=None)
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     one = hits.filter("rank <= 5").select("query_id", "doc_id", F.lit(0).alias("seq"), F.col("rank").cast("long").alias("pos"), F.col("score").alias("val"))
     two = hits.filter("doc_id % 2 = 0").withColumn("p", F.row_number().over(order)).filter("p <= 5").select("query_id", "doc_id", F.lit(1).alias("seq"), (F.col("p") + 100).cast("long").alias("pos"), (F.col("score") * 2).alias("val"))
@@ -118,12 +118,10 @@ EVAL = """ranks AS (SELECT q.item_id AS query_id, min(x.rank) AS rank FROM bench
 
 
 def _anchor_ranks(s, d):
-    """Containing documents are found through hits first: BM25 keeps every document that shares a term."""
+    """The best rank among a question's containing documents."""
     questions, docs = V.questions(s, d), table(s, d, "documents")
     hits = retrieval.bm25(docs, questions, k=10).select("query_id", "doc_id", "rank")
-    first = questions.withColumn("term", F.get(retrieval.terms(F.col("question")), F.lit(2)))
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(retrieval.terms(F.col("text")))).alias("term"))
-    qrels = words.join(F.broadcast(first.limit(10_000)), "term").filter(F.col("text").contains(F.col("question"))).select("query_id", "doc_id")
+    qrels = retrieval.containing(docs, questions)
     return qrels.join(hits, ["query_id", "doc_id"], "left").groupBy("query_id").agg(F.min("rank").alias("rank"))
 
 
@@ -206,7 +204,7 @@ def audit_labels(s, d):
 
 
 @query(O.RECORDS, body="""SELECT book, heading, n, first_rec, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY n DESC, first_rec) AS rank FROM (
- SELECT book, lower(text) AS heading, count(*) AS n, min(rec_no) AS first_rec FROM records_v WHERE label = 'section_header' GROUP BY book, lower(text) HAVING count(*) > 1) x) y WHERE rank <= 10""")
+ SELECT book, lower(text) AS heading, count(*) AS n, min(rec_no) AS first_rec FROM records_v WHERE label = 'section_header' GROUP BY book, lower(text)) x) y WHERE rank <= 10""")
 def audit_top_headings(s, d):
     return audit.top_headings(V.records(s, d))
 
