@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BLANK = r"(?U)\s+"
 EDGE = r"(?U)^\s+|\s+$"
@@ -101,7 +103,43 @@ def point_id(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 15), 16, 10).cast("long")
 
 
+#: The folders that exported assets lie in.
+ASSET_DIRS = ("document_artifacts", "figures")
+
+
 def local_asset(uri: Column) -> Column:
-    """The part of a link from its assets folder on; null for remote links and for paths that climb."""
-    path = F.regexp_extract(F.url_decode(uri), r"(?:^|/)((?:figures|tables|artifacts)/.+)$", 1)
-    return F.when(uri.rlike("^(https?|data):") | path.contains("..") | (path == ""), F.lit(None)).otherwise(path)
+    """The part of a link from its assets folder on; null for remote links and for paths that climb from there."""
+    decoded = F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+    path = F.regexp_extract(decoded, rf"(?:^|/)((?:{'|'.join(ASSET_DIRS)})/[^/].*)$", 1)
+    return F.when(decoded.rlike("^(?i:https?|data):") | path.rlike(r"(^|/)\.\.(/|$)") | (path == ""), F.lit(None)).otherwise(path)
+
+
+def quoted_path(path: Column) -> Column:
+    """A path as part of a link: everything escaped but letters, digits, _.-~ and slashes."""
+    escaped = F.url_encode(path)
+    for code, plain in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        escaped = F.replace(escaped, F.lit(code), F.lit(plain))
+    return escaped
+
+
+def portable_links(markdown: Column) -> Column:
+    """Markdown whose image links to exported assets are relative; other links stay."""
+    image = r"(?s)^(!\[[^\]]*\]\()([^)]*)(\).*)$"
+
+    def renew(piece: Column) -> Column:
+        target = quoted_path(local_asset(F.regexp_extract(piece, image, 2)))
+        return F.when(piece.rlike(image) & target.isNotNull(), F.concat(F.regexp_extract(piece, image, 1), target, F.regexp_extract(piece, image, 3))).otherwise(piece)
+
+    return F.array_join(F.transform(F.split(markdown, r"(?=!\[[^\]]*\]\([^)]*\))"), renew), "")
+
+
+@F.pandas_udf(StringType())
+def ascii_name(names: pd.Series) -> pd.Series:
+    """Names in ASCII, by compatible decomposition, for which Spark has no function."""
+    return names.str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
+
+
+def slug(name: Column, file: Column) -> Column:
+    """Letters and digits of an ASCII name joined by dashes (65 characters at most), and 8 digits of the file name's hash."""
+    bare = F.left(F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-+|-+$", ""), F.lit(65))
+    return F.concat(F.when(bare == "", "book").otherwise(bare), F.lit("-"), F.left(F.sha2(file.cast("binary"), 256), F.lit(8)))

@@ -24,3 +24,20 @@ BM25 = r"""d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2
 
 def with_views(*views: str, body: str) -> str:
     return "WITH " + ", ".join(views) + " " + body
+PRINTED = PAGES + """, heads_v AS (SELECT p.*, CASE WHEN letters = '' THEN 'UNTITLED' ELSE upper(letters) END AS head FROM (SELECT *, trim(regexp_replace(substr(text, 1, 30), '[^A-Za-z ]', '', 'g'), ' ') AS letters FROM pages_v) p),
+ entries_v AS (SELECT book, 3 + ((page_no - 6) // 8) AS page_no, string_agg(page_no || '. ' || head || ' ..... ' || (page_no - 3), chr(10) ORDER BY page_no) AS entries FROM heads_v WHERE page_no BETWEEN 6 AND 29 GROUP BY 1, 2),
+ printed_v AS (SELECT h.book, h.page_no, h.doc_id, h.chapter, h.head, CASE WHEN entries IS NOT NULL THEN 'Contents' || chr(10) || entries ELSE head || ' ' || (h.page_no - 3) || chr(10) || 'CHAPTER ' || h.page_no || chr(10) || chr(10) || head || chr(10) || 'OUTLINE' || chr(10)
+  || CASE WHEN h.page_no % 4 = 0 THEN 'PART ' || (h.page_no % 5 + 1) || ': ' || substr(head, 1, 12) || chr(10) ELSE '' END || text END AS text FROM heads_v h LEFT JOIN entries_v e ON e.book = h.book AND e.page_no = h.page_no)"""
+LINES = PRINTED + """, lines_v AS (SELECT book, page_no, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS each, text FROM printed_v)"""
+CONTENTS = LINES + r""", hit_v AS (SELECT book, page_no, text FROM lines_v WHERE page_no <= 45 AND len(list_filter(each, lambda x: regexp_matches(x, '[\s.]+\d{1,4}\s*$'))) >= 5),
+ runs_v AS (SELECT book, min(page_no) AS first_page, string_agg(text, chr(10) ORDER BY page_no) AS text, count(*) AS n FROM (SELECT *, page_no - row_number() OVER (PARTITION BY book ORDER BY page_no) AS island FROM hit_v) x GROUP BY book, island HAVING count(*) >= 2),
+ contents_v AS (SELECT * FROM runs_v QUALIFY row_number() OVER (PARTITION BY book ORDER BY n DESC, first_page) = 1),
+ raw_entries_v AS (SELECT book, CAST(u.pos - 1 AS INT) AS pos, u.title, CAST(t.numbers[u.pos] AS INT) AS printed FROM (SELECT book, regexp_extract_all(text, '(?im)^(?:Chapter\s+\d+|Part\s+[IVX\d]+|\d+[\.\)]?)\s+([A-Z][^\r\n]{2,60}?)[\.\s]+(\d{1,4})\s*$', 1) AS titles,
+  regexp_extract_all(text, '(?im)^(?:Chapter\s+\d+|Part\s+[IVX\d]+|\d+[\.\)]?)\s+([A-Z][^\r\n]{2,60}?)[\.\s]+(\d{1,4})\s*$', 2) AS numbers FROM contents_v) t, unnest(t.titles) WITH ORDINALITY u(title, pos))"""
+SPANS = PAGES + """, spans_v AS (SELECT book, page_no, CAST(u.pos - 1 AS INT) AS line, p.doc_id + u.pos - 1 AS i, u.raw FROM pages_v p, unnest(string_split(p.text, chr(10))) WITH ORDINALITY u(raw, pos)),
+ sized_v AS (SELECT book, page_no, line, CASE WHEN i % 9 = 0 THEN i || '. ' ELSE '' END || upper(substr(raw, 1, 1)) || substr(raw, 2) AS text, CASE WHEN i % 11 = 0 THEN 17.0 WHEN i % 5 = 0 THEN 12.5 ELSE 10.0 END::DOUBLE AS size, (i % 50) * 20.0 AS y0 FROM spans_v)"""
+
+
+def median(diffs: str) -> str:
+    """SQL of the upper median of (book, diff) rows."""
+    return f'SELECT book, diff AS "offset" FROM (SELECT book, diff, row_number() OVER (PARTITION BY book ORDER BY diff) - 1 AS r, count(*) OVER (PARTITION BY book) AS n FROM ({diffs}) d) x WHERE r = n // 2'

@@ -74,3 +74,33 @@ def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
         "page_id", F.regexp_extract_all("html", pattern, F.lit(1)).alias("tags"), F.regexp_extract_all("html", pattern, F.lit(2)).alias("texts")
     )
     return cut.select("page_id", F.posexplode(F.arrays_zip("tags", "texts")).alias("pos", "b")).select("page_id", "pos", F.col("b.tags").alias("tag"), F.col("b.texts").alias("text"))
+
+
+def printed(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as printed: a running header with a page number 3 too low, a chapter marker and title, some divisions; contents on pages 3 to 5."""
+    base = pages(spark, sf)
+    letters = F.btrim(F.regexp_replace(F.substring("text", 1, 30), "[^A-Za-z ]", ""))
+    head = F.when(letters == "", "UNTITLED").otherwise(F.upper(letters))
+    p = base.withColumn("head", head)
+    at = F.expr("3 + ((page_no - 6) div 8)").cast("int")
+    entry = F.concat_ws("", F.col("page_no").cast("string"), F.lit(". "), F.col("head"), F.lit(" ..... "), (F.col("page_no") - 3).cast("string"))
+    entries = p.filter("page_no BETWEEN 6 AND 29").groupBy("book", at.alias("page_no")).agg(F.sort_array(F.collect_list(F.struct("page_no", entry.alias("line")))).alias("entries"))
+    no = F.col("page_no").cast("string")
+    division = F.when(F.col("page_no") % 4 == 0, F.concat(F.lit("PART "), F.expr("cast(page_no % 5 + 1 as string)"), F.lit(": "), F.substring("head", 1, 12), F.lit("\n"))).otherwise("")
+    body = F.concat("head", F.lit(" "), (F.col("page_no") - 3).cast("string"), F.lit("\nCHAPTER "), no, F.lit("\n\n"), "head", F.lit("\nOUTLINE\n"), division, "text")
+    joined = p.join(entries, ["book", "page_no"], "left")
+    return joined.select(
+        "book", "page_no", "doc_id", "chapter", "head",
+        F.when(F.col("entries").isNotNull(), F.concat(F.lit("Contents\n"), F.array_join(F.transform("entries", lambda e: e["line"]), "\n"))).otherwise(body).alias("text"),
+    )
+
+
+def spans(spark: SparkSession, sf: str) -> DataFrame:
+    """A span for each line of a page, with a size, and a place that puts a few into the margins."""
+    each = pages(spark, sf).select("book", "page_no", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    i = F.col("doc_id") + F.col("line")
+    top = (i % 50) * 20.0
+    return each.select(
+        "book", "page_no", F.lit(0).alias("block"), "line", F.lit(0).alias("span"), F.concat(F.when(i % 9 == 0, F.concat(i.cast("string"), F.lit(". "))).otherwise(""), F.upper(F.left("text", F.lit(1))), F.expr("substr(text, 2)")).alias("text"),
+        F.when(i % 11 == 0, 17.0).when(i % 5 == 0, 12.5).otherwise(10.0).alias("size"), top.alias("y0"), (top + 12.0).alias("y1"), F.lit(1000.0).alias("height"),
+    )
