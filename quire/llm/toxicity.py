@@ -40,8 +40,8 @@ from .common import lean, read
 from .labelled import held_out, logistic, sample, sigmoid
 
 MAX_DOCS = 4000
-GRAM, SIZE, WINDOW = 7, 192, 8
-RATIO, LEAST = 3.0, 6
+GRAM, SIZE, WINDOW = 7, 512, 8
+RATIO, LEAST = 5.0, 6
 THRESHOLD = 0.3
 #: Bytes that lower-cased text does not hold; shared by both dictionaries and every window.
 BASE = hashlib.sha256(b"primer").hexdigest().upper().encode()
