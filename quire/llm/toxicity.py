@@ -5,7 +5,8 @@ Training picks the byte segments that mark a class: grams of GRAM bytes whose do
 frequency in the class is RATIO times that in the other, strongest first, joined where
 they overlap, up to SIZE bytes. A document is cut into windows of WINDOW words; each is
 compressed with either dictionary, and the difference of the two lengths is a window's
-distance. Logistic calibration on the windows' mean, largest and counted distances
+distance. Eight words of any length may outgrow the compressor's reach, so a window of
+more than SLICE bytes is cut into slices that overlap by OVERLAP bytes. Logistic calibration on the windows' mean, largest and counted distances
 gives the score.
 
 zstandard measures short windows well only if three things are kept from hiding a
@@ -41,6 +42,8 @@ from .labelled import held_out, logistic, sample, sigmoid
 
 MAX_DOCS = 4000
 GRAM, SIZE, WINDOW = 7, 512, 8
+#: Bytes of a window at most: up to here zstandard seeks a match at every position. Slices share OVERLAP bytes, so that no gram is cut.
+SLICE, OVERLAP = 256, 32
 RATIO, LEAST = 5.0, 6
 THRESHOLD = 0.3
 #: Bytes that lower-cased text does not hold; shared by both dictionaries and every window.
@@ -50,7 +53,11 @@ PRIMER = BASE[3:19] + b"\x00" + BASE[30:46] + b"\x01" + BASE[10:26] + b"\x02"
 
 def windows(text: bytes) -> list[bytes]:
     words = text.lower().split()
-    return [b" ".join((PRIMER, *words[i : i + WINDOW], b"")) for i in range(0, len(words), WINDOW)] or [PRIMER]
+    found = []
+    for i in range(0, len(words), WINDOW):
+        body = b" ".join((b"", *words[i : i + WINDOW], b""))
+        found.extend(PRIMER + body[k : k + SLICE] for k in range(0, max(1, len(body) - OVERLAP), SLICE - OVERLAP))
+    return found or [PRIMER]
 
 
 def _grams(text: bytes) -> set[bytes]:

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from quire.llm import toxicity
 from quire.llm.common import Workspace
 from quire.llm.graph import components
 
@@ -25,3 +26,18 @@ def test_components_of_rising_chains_and_random_graphs(spark):
     frame = spark.createDataFrame(edges, "a long, b long")
     got = components(frame, Workspace(spark, "chains")).collect()
     assert len(got) == len(up) and {r.node: r.label for r in got} == {x: find(x) for x in up}
+
+
+def test_toxic_words_count_anywhere_in_a_text_without_blanks():
+    rng = np.random.default_rng(1)
+    word = lambda: bytes(rng.integers(97, 123, 9).astype("u1"))
+    toxic, ordinary = [word() for _ in range(40)], [word() for _ in range(40)]
+    model = toxicity.Model(b"".join(toxic), b"".join(ordinary), np.zeros(9))
+    fill = lambda n: bytes(rng.integers(0x80, 0xF0, n).astype("u1"))
+    for at in (0, 300, 3000, 4000, 20_000, 200_000):
+        text = fill(at) + b"".join(toxic[:20]) + fill(500)
+        toxic_one, ordinary_one = model.compressors()
+        assert sum(len(ordinary_one(w)) - len(toxic_one(w)) for w in toxicity.windows(text)) > 100
+        assert b"".join(w[len(toxicity.PRIMER) :][: toxicity.SLICE - toxicity.OVERLAP] for w in toxicity.windows(text))[1 : at + 1] == text[:at]
+    short = b" ".join([b"word"] * 20)
+    assert len(toxicity.windows(short)) == 3 and toxicity.windows(short)[2] == toxicity.PRIMER + b" word word word word "
