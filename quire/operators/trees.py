@@ -77,9 +77,9 @@ def sibling_ends(nodes: DataFrame) -> DataFrame:
 
 
 def number_nodes(nodes: DataFrame, order: list[str]) -> DataFrame:
-    """Four-digit ids in an order of a book's nodes (by path: depth first; by depth and path: level by level)."""
+    """Ids of at least four digits in an order of a book's nodes (by path: depth first; by depth and path: level by level)."""
     place = F.row_number().over(W.partitionBy("book").orderBy(*order))
-    return nodes.withColumn("node_id", F.lpad(place.cast("string"), 4, "0"))
+    return nodes.withColumn("node_id", F.format_string("%04d", place))
 
 
 def validate(nodes: DataFrame, totals: DataFrame) -> DataFrame:

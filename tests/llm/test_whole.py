@@ -5,6 +5,7 @@ import numpy as np
 from quire.llm import toxicity
 from quire.llm.common import Workspace
 from quire.llm.graph import components
+from quire.operators import trees
 
 
 def test_components_of_rising_chains_and_random_graphs(spark):
@@ -41,3 +42,10 @@ def test_toxic_words_count_anywhere_in_a_text_without_blanks():
         assert b"".join(w[len(toxicity.PRIMER) :][: toxicity.SLICE - toxicity.OVERLAP] for w in toxicity.windows(text))[1 : at + 1] == text[:at]
     short = b" ".join([b"word"] * 20)
     assert len(toxicity.windows(short)) == 3 and toxicity.windows(short)[2] == toxicity.PRIMER + b" word word word word "
+
+
+def test_node_ids_of_a_book_of_more_than_9999_nodes(spark):
+    nodes = spark.range(12_346).selectExpr("'b' AS book", "array(CAST(id AS INT)) AS path")
+    got = {r.path[0] + 1: r.node_id for r in trees.number_nodes(nodes, ["path"]).collect()}
+    assert len(set(got.values())) == 12_346
+    assert (got[1], got[1234], got[9999], got[10_000], got[12_345]) == ("0001", "1234", "9999", "10000", "12345")
