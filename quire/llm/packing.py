@@ -7,9 +7,10 @@ pieces of bins still open at a partition's end, a bounded number for each partit
 are dealt the same way once more for every GROUP partitions, and what is left there
 (fewer than j pieces of each class) is packed best fit first.
 
-Ids are those of the public byte-level vocabulary; tiktoken reads the same vocabulary
-as ranks, gives the same ids as its tokenizers file (tests compare them) and is over
-four times as fast.
+Ids are those of the public byte-level vocabulary's tokenizers file, as it is loaded.
+tiktoken reads the same vocabulary as ranks and is over four times as fast; it encodes
+what lies between the file's added token, whose id is set here. Texts with a run of
+LONG_RUN blanks, and any on which tiktoken panics, go through the file (tests compare).
 
 Defined cases: a null text is an empty one, whose only token is the end mark; repeated
 rows are packed each; an empty table gives an empty result; other columns are ignored.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +35,11 @@ from .common import Workspace, lean, read
 
 CAPACITY = 2048
 END_ID = 1
+#: The added token of the vocabulary: its text in a document is one id.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
+#: tiktoken's stack overflows on about a million blanks in a row.
+LONG_RUN = 100_000
+_long_run = re.compile(rf"\s{{{LONG_RUN}}}")
 #: Class j holds pieces of at most CAPACITY // j tokens, j to a bin.
 CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128)
 #: A piece may fall short of its class by so many tokens; else it is cut at the next class size.
@@ -54,12 +61,36 @@ def encoder():
     return tiktoken.Encoding("byte_bpe_50k", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def whole_encoder():
+    """The tokenizers file itself: slower, and without a bound on runs."""
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+
+
+def _encoded(text: str) -> list[int]:
+    if len(text) >= LONG_RUN and _long_run.search(text):
+        return whole_encoder().encode(text, add_special_tokens=False).ids
+    try:
+        first, *rest = map(encoder().encode_ordinary, text.split(ADDED))
+    except BaseException as e:  # noqa: BLE001  a panic of the Rust code is no Exception
+        if type(e).__name__ != "PanicException":
+            raise
+        return whole_encoder().encode(text, add_special_tokens=False).ids
+    for ids in rest:
+        first.append(ADDED_ID)
+        first.extend(ids)
+    return first
+
+
 def token_ids(text: str | None) -> np.ndarray:
     """Ids of a text and the end mark, as little-endian unsigned 32-bit numbers."""
     try:
-        ids = encoder().encode_ordinary(text or "")
+        ids = _encoded(text or "")
     except UnicodeEncodeError:
-        ids = encoder().encode_ordinary(text.encode("utf-8", "replace").decode("utf-8"))
+        ids = _encoded(text.encode("utf-8", "replace").decode("utf-8"))
     return np.array([*ids, END_ID], dtype="<u4")
 
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from quire.llm import toxicity
+from quire.llm import packing, toxicity
 from quire.llm.common import Workspace
 from quire.llm.graph import components
 from quire.operators import trees
@@ -44,6 +44,18 @@ def test_toxic_words_count_anywhere_in_a_text_without_blanks():
     assert len(toxicity.windows(short)) == 3 and toxicity.windows(short)[2] == toxicity.PRIMER + b" word word word word "
 
 
+def test_token_ids_of_added_tokens_and_long_runs():
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    mark = "<|endoftext|>"
+    texts = [f"hello {mark} world", mark, mark * 3, f"a{mark}\n\n{mark} b  {mark}", "<|endoftext", "a" + " " * 1_100_000 + "b", "\n" * 1_500_000 + mark + " x"]
+    for text in texts:
+        assert packing.token_ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids + [1]
+    assert packing.token_ids(texts[0]).tolist() == [31373, 220, 50256, 995, 1]
+
+
 def test_node_ids_of_a_book_of_more_than_9999_nodes(spark):
     nodes = spark.range(12_346).selectExpr("'b' AS book", "array(CAST(id AS INT)) AS path")
     got = {r.path[0] + 1: r.node_id for r in trees.number_nodes(nodes, ["path"]).collect()}
