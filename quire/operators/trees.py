@@ -97,13 +97,17 @@ def validate(nodes: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def flatten_trees(spark: SparkSession, trees: DataFrame) -> DataFrame:
-    """Nested JSON trees (doc, tree) to rows: breadcrumb, depth, path of positions, pages. Any depth."""
+    """Nested JSON trees (doc, tree) to rows: breadcrumb, depth, path of positions, pages.
+
+    The walk lifts Spark's bounds of 100 levels (MAX RECURSION LEVEL) and a million rows (LIMIT ALL);
+    parse_json still bounds the nesting and size of one tree.
+    """
     trees.createOrReplaceTempView("_trees")
     return spark.sql(
         """
         WITH RECURSIVE root AS (
           SELECT doc, parse_json(tree) AS v FROM _trees),
-        walk AS (
+        walk MAX RECURSION LEVEL 1000000 AS (
           SELECT doc, n.value AS v, 1 AS depth, array(CAST(n.pos AS INT)) AS path, CAST(try_variant_get(n.value, '$.title', 'string') AS STRING) AS crumb
           FROM root, LATERAL variant_explode(coalesce(try_variant_get(v, '$.structure', 'variant'), try_variant_get(v, '$.nodes', 'variant'), v)) n
           UNION ALL
@@ -111,7 +115,7 @@ def flatten_trees(spark: SparkSession, trees: DataFrame) -> DataFrame:
           FROM walk w, LATERAL variant_explode(try_variant_get(w.v, '$.nodes', 'variant')) n)
         SELECT doc, depth, path, crumb, try_variant_get(v, '$.title', 'string') AS title, try_variant_get(v, '$.node_id', 'string') AS node_id,
                try_variant_get(v, '$.start_index', 'int') AS start_index, try_variant_get(v, '$.end_index', 'int') AS end_index
-        FROM walk"""
+        FROM walk LIMIT ALL"""
     )
 
 

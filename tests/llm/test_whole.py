@@ -61,3 +61,14 @@ def test_node_ids_of_a_book_of_more_than_9999_nodes(spark):
     got = {r.path[0] + 1: r.node_id for r in trees.number_nodes(nodes, ["path"]).collect()}
     assert len(set(got.values())) == 12_346
     assert (got[1], got[1234], got[9999], got[10_000], got[12_345]) == ("0001", "1234", "9999", "10000", "12345")
+
+
+def test_trees_of_many_levels_and_many_documents(spark):
+    tree = '{"title": "last"}'
+    for _ in range(149):
+        tree = '{"title": "t", "nodes": [' + tree + "]}"
+    deep = spark.createDataFrame([("d", '{"structure": [' + tree + "]}")], "doc string, tree string")
+    flat = trees.flatten_trees(spark, deep).select("doc", "depth", "title")
+    assert [r.title for r in flat.filter("depth = 150").collect()] == ["last"]
+    many = spark.range(1_100_000).selectExpr("CAST(id AS STRING) AS doc", """'{"structure": [{"title": "A"}]}' AS tree""")
+    assert trees.flatten_trees(spark, many).select("doc", "crumb").count() == 1_100_000
