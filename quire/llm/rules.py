@@ -3,8 +3,11 @@
 Each rule votes good (1), bad (-1) or abstains (0). The votes of all documents are
 counted by vote pattern, of which there are at most 3 to the number of rules however
 large the corpus is. Expectation-maximisation over the pattern counts estimates each
-rule's vote probabilities under both classes, and a document is kept when its
-pattern's posterior probability of being good is at least KEEP.
+rule's accuracy under both classes (an abstention says nothing), and a document is kept
+when its pattern's posterior probability of being good is at least KEEP. Rules look at
+unlike sides of a text (symbols, words without letters, closing punctuation, word
+lengths, shouting, capitals, repeats, lines, digits), so that what one of them sees in
+junk others can confirm.
 
 Words that recur in repeated three-word windows are found inside the row: window
 hashes are sorted as an array of longs; positions are needed only for texts in which
@@ -26,8 +29,8 @@ from .common import WORD, Workspace, read
 
 KEEP = 0.5
 ROUNDS = 50
-#: First guess of a vote's accuracy, and pseudo-counts that keep every probability off 0 and 1.
-ACCURACY, PRIOR_GOOD, SMOOTH = 0.85, 0.8, 1.0
+#: First guesses: how often a rule blames a good document and catches a bad one, and the share of good documents; pseudo-counts of them.
+BLAMES, CATCHES, PRIOR_GOOD, SMOOTH = 0.02, 0.3, 0.8, 1.0
 
 
 def _bind(value: Column, body) -> Column:
@@ -68,18 +71,24 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         return [
             F.size(w).alias("n_words"),
             _repeated(w).alias("n_repeat_words"),
-            F.size(F.array_distinct(w)).alias("n_distinct"),
         ]
 
+    def without(characters: str) -> Column:
+        return F.length(F.translate(t, characters, ""))
+
+    blank = " \t\n\x0b\x0c\r"
+
     def of(w: Column) -> Column:
+        n = F.length(t)
         return F.struct(
             *counts(w),
-            F.length(F.regexp_replace(t, r"[\x20\x09-\x0D]+", "")).alias("word_chars"),
-            F.length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).alias("n_symbols"),
-            F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")).alias("n_upper"),
-            F.length(F.regexp_replace(t, r"[^\p{L}]+", "")).alias("n_letters"),
-            F.length(F.regexp_replace(t, r"[^!?]+", "")).alias("n_shouts"),
-            F.length(F.regexp_replace(t, r"[^\p{Nd}]+", "")).alias("n_digits"),
+            without(blank).alias("word_chars"),
+            (n - without("#*$%&|<>")).alias("n_symbols"),
+            (n - without("!?")).alias("n_shouts"),
+            (n - without("0123456789")).alias("n_digits"),
+            F.regexp_count(t, F.lit(r"\p{Lu}")).alias("n_upper"),
+            F.regexp_count(t, F.lit(r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])")).alias("n_bare"),
+            F.regexp_count(t, F.lit(r"[.,;:!?](?![^\x20\x09-\x0D])")).alias("n_closed"),
             _bind(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))).alias("lines"),
         )
 
@@ -91,17 +100,20 @@ def votes(m: Column) -> list[Column]:
 
     def rule(part: Column, whole: Column, good: float, bad: float, least: int = 20) -> Column:
         ratio = part / F.greatest(whole, F.lit(1))
-        return F.when(m["n_words"] < least, 0).when(ratio >= bad, -1).when(ratio <= good, 1).otherwise(0)
+        vote = F.when(ratio >= bad, -1).when(ratio <= good, 1) if bad > good else F.when(ratio <= bad, -1).when(ratio >= good, 1)
+        return F.when(m["n_words"] < least, 0).otherwise(vote.otherwise(0))
 
-    length = m["word_chars"] / F.greatest(m["n_words"], F.lit(1))
+    words = m["n_words"]
+    length = m["word_chars"] / F.greatest(words, F.lit(1))
     return [
-        rule(m["n_symbols"], m["n_words"], 0.05, 0.25),
-        rule(m["n_shouts"], m["n_words"], 0.15, 0.5),
-        rule(m["n_upper"], m["n_letters"], 0.2, 0.5),
-        rule(m["n_repeat_words"], m["n_words"], 0.25, 0.45),
+        rule(m["n_symbols"], words, 0.05, 0.25),
+        rule(m["n_bare"], words, 0.05, 0.2),
+        rule(m["n_closed"], words, 0.1, 0.05),
+        F.when(words < 20, 0).when((length < 3) | (length > 8), -1).when((length >= 4.2) & (length <= 7), 1).otherwise(0),
+        rule(m["n_shouts"], words, 0.15, 0.5),
+        rule(m["n_upper"], m["word_chars"], 0.15, 0.4),
+        rule(m["n_repeat_words"], words, 0.25, 0.45),
         rule(m["lines"]["dup"], m["lines"]["n"], 0.2, 0.5, 30),
-        rule(m["n_words"] - m["n_distinct"], m["n_words"], 0.8, 0.9, 50),
-        F.when(m["n_words"] < 20, 0).when((length < 2) | (length > 14), -1).when((length >= 3) & (length <= 10), 1).otherwise(0),
         rule(m["n_digits"], m["word_chars"], 0.1, 0.3),
     ]
 
@@ -109,35 +121,32 @@ def votes(m: Column) -> list[Column]:
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
     """Posterior of good for every vote pattern, by expectation-maximisation over pattern counts.
 
-    Votes are independent given the class; a vote, abstention included, has its own
-    probability under each class. The start, ACCURACY for every rule, fixes which class is good.
+    Votes are independent given the class; an abstention is a missing vote. A rule has two
+    accuracies: how seldom it blames a good document, and how often it catches a bad one.
+    The start says that rules blame seldom and each catches one sort of junk, which fixes
+    the classes; throughout, a vote of bad is at least as likely under bad as under good.
     """
     if not patterns:
         return {}
-    rules, place = range(len(patterns[0][0])), {-1: 0, 0: 1, 1: 2}
+    rules = range(len(patterns[0][0]))
     total = sum(n for _, n in patterns)
     good = PRIOR_GOOD
-    share = [[sum(n for p, n in patterns if place[p[r]] == v) / total for v in range(3)] for r in rules]
+    blames, catches = [BLAMES] * len(rules), [CATCHES] * len(rules)
 
-    def start(r: int, c: int) -> list[float]:
-        right = [1 - ACCURACY, 1.0, ACCURACY] if c else [ACCURACY, 1.0, 1 - ACCURACY]
-        raw = [max(s, 1e-3) * x for s, x in zip(share[r], right)]
-        return [x / sum(raw) for x in raw]
+    def odds(p: tuple[int, ...]) -> float:
+        """Log odds of bad."""
+        return math.log((1 - good) / good) + sum(math.log(catches[r] / blames[r] if p[r] < 0 else (1 - catches[r]) / (1 - blames[r])) for r in rules if p[r])
 
-    table = [[start(r, c) for r in rules] for c in (0, 1)]
     posterior: dict[tuple[int, ...], float] = {}
     for _ in range(rounds):
-        for p, _n in patterns:
-            bad_log, good_log = (math.log(prior) + sum(math.log(table[c][r][place[p[r]]]) for r in rules) for c, prior in ((0, 1 - good), (1, good)))
-            posterior[p] = 1 / (1 + math.exp(min(700.0, bad_log - good_log)))
-        weight = [sum(n * (1 - posterior[p]) for p, n in patterns), sum(n * posterior[p] for p, n in patterns)]
-        good = (weight[1] + SMOOTH) / (total + 2 * SMOOTH)
-        for c in (0, 1):
-            for r in rules:
-                seen = [SMOOTH * table[c][r][v] for v in range(3)]
-                for p, n in patterns:
-                    seen[place[p[r]]] += n * (posterior[p] if c else 1 - posterior[p])
-                table[c][r] = [x / (weight[c] + SMOOTH) for x in seen]
+        posterior = {p: 1 / (1 + math.exp(max(-700.0, min(700.0, odds(p))))) for p, _n in patterns}
+        good = (sum(n * posterior[p] for p, n in patterns) + SMOOTH * PRIOR_GOOD) / (total + SMOOTH)
+        for r in rules:
+            voted = [(p[r] < 0, n * posterior[p], n * (1 - posterior[p])) for p, n in patterns if p[r]]
+            blames[r], catches[r] = (
+                (sum(v[c] for v in voted if v[0]) + SMOOTH * start) / (sum(v[c] for v in voted) + SMOOTH) for c, start in ((1, BLAMES), (2, CATCHES))
+            )
+            blames[r] = min(blames[r], catches[r])
     return posterior
 
 
@@ -145,7 +154,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, m, pattern, posterior) of every document."""
     space = Workspace(docs.sparkSession, "rules")
     measured = space.write(measures(docs.select("doc_id", "text")).select("doc_id", "m", F.array(*votes(F.col("m"))).alias("pattern")), "measures")
-    counted = measured.groupBy("pattern").count().collect()  # at most 3 ** 8 rows
+    counted = measured.groupBy("pattern").count().collect()  # at most 3 ** 9 rows
     posterior = fit(sorted((tuple(r["pattern"]), r["count"]) for r in counted))
     if not posterior:
         return measured.withColumn("posterior", F.lit(0.0))
@@ -156,7 +165,7 @@ def judge(docs: DataFrame) -> DataFrame:
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(read(spark, sf_dir, "documents"))
     m = F.col("m")
-    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    failed = (m["n_words"] < 50) | (F.lit(100).cast("long") * m["n_repeat_words"] > F.lit(50).cast("long") * m["n_words"])
     return judged.select(
         "doc_id",
         m["n_words"].cast("long").alias("n_words"),
