@@ -1,25 +1,29 @@
 """Toxicity by compression distance (operator 3).
 
-Two zstandard dictionaries are trained, one on toxic and one on ordinary labelled text.
-Training picks the byte segments that mark a class: grams of GRAM bytes whose document
-frequency in the class is RATIO times that in the other, strongest first, joined where
-they overlap, up to SIZE bytes. A document is cut into windows of WINDOW words; each is
-compressed with either dictionary, and the difference of the two lengths is a window's
-distance. Eight words of any length may outgrow the compressor's reach, so a window of
-more than SLICE bytes is cut into slices that overlap by OVERLAP bytes. Logistic calibration on the windows' mean, largest and counted distances
-gives the score.
+Two zstandard dictionaries are trained with zstandard's own trainer, one on toxic and one
+on ordinary labelled text. A toxic document is mostly ordinary prose, so the samples of
+the toxic class are the words that mark it: in at least LEAST of its documents, RATIO
+times as frequent as in the other class and with a log-likelihood of STRENGTH or more.
+The samples of the ordinary class are words of its documents. A document is cut into
+windows of WINDOW words; each is compressed with either dictionary, and the difference
+of the two lengths is a window's distance. Eight words of any length may outgrow the
+compressor's reach, so a window of more than SLICE bytes is cut into slices that overlap
+by OVERLAP bytes. Logistic calibration on the windows' mean, largest and counted
+distances gives the score.
 
 zstandard measures short windows well only if three things are kept from hiding a
 match of a few bytes: literals are left uncompressed (the fast strategy with a target
-length does that), matches shorter than a gram are not sought, and every window starts
+length does that), matches shorter than MATCH are not sought, and every window starts
 with the same primer, which both dictionaries hold, so that a block is never stored raw
-for want of a first match.
+for want of a first match. Dictionaries therefore serve as content, without the entropy
+tables of their headers.
 
 Training takes at most MAX_DOCS labelled documents (a documented bound) on the driver.
-Scoring is one pass over whole texts without a shuffle.
+Scoring is one pass over whole texts without a shuffle. `choose` compares settings by
+two-fold cross-validation within training documents.
 
 Defined cases: a null or empty text is one window without words; without labels of both
-kinds, or without a segment that marks toxic text, the score is the share of toxic
+kinds, or with too few samples for the trainer, the score is the share of toxic
 labels, or 0.5; repeated rows are scored each; an empty table gives an empty result;
 other columns are ignored.
 """
@@ -33,6 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,10 +46,14 @@ from .common import lean, read
 from .labelled import held_out, logistic, sample, sigmoid
 
 MAX_DOCS = 4000
-GRAM, SIZE, WINDOW = 7, 512, 8
-#: Bytes of a window at most: up to here zstandard seeks a match at every position. Slices share OVERLAP bytes, so that no gram is cut.
+WINDOW = 8
+#: Bytes of a dictionary, and of the segments and the substrings by which the trainer chooses them; the shortest match.
+SIZE, SEGMENT, SUBSTRING, MATCH = 3072, 64, 6, 6
+#: Bytes of a window at most: up to here zstandard seeks a match at every position. Slices share OVERLAP bytes, so that no match is cut.
 SLICE, OVERLAP = 256, 32
-RATIO, LEAST = 5.0, 6
+RATIO, LEAST, STRENGTH = 5.0, 5, 20.0
+#: Words of ordinary documents that its dictionary is trained on.
+ORDINARY_SAMPLES = 20_000
 THRESHOLD = 0.3
 #: Bytes that lower-cased text does not hold; shared by both dictionaries and every window.
 BASE = hashlib.sha256(b"primer").hexdigest().upper().encode()
@@ -60,31 +69,28 @@ def windows(text: bytes) -> list[bytes]:
     return found or [PRIMER]
 
 
-def _grams(text: bytes) -> set[bytes]:
-    padded = b" ".join((b"", *text.lower().split(), b""))
-    found = {padded[i : i + GRAM] for i in range(len(padded) - GRAM + 1)}
-    return {g for g in found if b" " not in g[1:-1]}
-
-
-def _segments(own: Counter, other: Counter, n_own: int, n_other: int) -> bytes:
-    """The grams that mark a class, strongest last (nearest to the window), overlaps joined, SIZE bytes at most."""
-    strength = {}
-    for gram, k in own.items():
-        rate, against = k / n_own, (other[gram] + 0.5) / n_other
-        if k >= LEAST and rate > RATIO * against:
-            strength[gram] = k * np.log(rate / against)
-    parts: list[bytes] = []
-    size = 0
-    for gram in sorted(strength, key=lambda g: (-strength[g], g)):
-        if any(gram in part for part in parts):
-            continue
-        joins = ((i, part + gram[-1:]) if part.endswith(gram[:-1]) else (i, gram[:1] + part) for i, part in enumerate(parts) if part.endswith(gram[:-1]) or part.startswith(gram[1:]))
-        at, longer = next(joins, (len(parts), gram))
-        parts[at : at + 1] = [longer]
-        size += 1 if len(longer) > GRAM else GRAM
-        if size >= SIZE:
-            break
-    return b"".join(reversed(parts))
+def _words(text: bytes) -> list[bytes]:
+    return [w.strip(b".,;:!?") for w in text.lower().split()]
+
+
+def _marks(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
+    """Words whose document frequency marks toxic text."""
+    own, other = (Counter(w for t in texts for w in set(_words(t))) for texts in (toxic, ordinary))
+    found = set()
+    for word, k in own.items():
+        times = k / len(toxic) / ((other[word] + 0.5) / len(ordinary))
+        if len(word) > 2 and k >= LEAST and times > RATIO and k * np.log(times) >= STRENGTH:
+            found.add(word)
+    return found
+
+
+def _dictionary(samples: list[bytes], size: int) -> bytes:
+    """The content that zstandard's trainer chooses, most useful last; empty if the samples are too few for it."""
+    samples = samples * max(1, -(-256 // max(1, len(samples))))  # the trainer wants some hundreds
+    try:
+        return zstandard.train_dictionary(size, samples, k=SEGMENT, d=SUBSTRING).as_bytes() if samples else b""
+    except zstandard.ZstdError:
+        return b""
 
 
 @dataclass
@@ -103,7 +109,7 @@ class Model:
         """Both compressors, made once in each process."""
         if self._pair is None:
             how = zstandard.ZstdCompressionParameters(
-                window_log=12, chain_log=10, hash_log=14, search_log=1, min_match=GRAM, target_length=1, strategy=zstandard.STRATEGY_FAST,
+                window_log=13, chain_log=10, hash_log=14, search_log=1, min_match=MATCH, target_length=1, strategy=zstandard.STRATEGY_FAST,
                 write_content_size=False, write_dict_id=False, write_checksum=False,
             )
             made = [zstandard.ZstdCompressionDict(x + BASE, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for x in (self.toxic, self.ordinary)]
@@ -131,17 +137,44 @@ def train(pairs: list[tuple[str, int]]) -> Model | float:
     rate = float(y.mean()) if len(y) else 0.5
     if not all(n):
         return rate
-    seen = [Counter(), Counter()]
-    for text, label in zip(texts, y):
-        seen[int(label)].update(_grams(text))
-    toxic, ordinary = _segments(seen[1], seen[0], n[1], n[0]), _segments(seen[0], seen[1], n[0], n[1])
-    if not toxic:
+    classes = [[t for t, label in zip(texts, y) if label == c] for c in (0, 1)]
+    marks = _marks(classes[1], classes[0])
+    toxic = _dictionary([b" " + w + b" " for t in classes[1] for w in _words(t) if w in marks], SIZE)
+    words = sorted({(xxhash.xxh3_64_intdigest(b"%d %d" % (i, j)), b" " + w + b" ") for i, t in enumerate(classes[0]) for j, w in enumerate(_words(t))})
+    ordinary = _dictionary([w for _, w in words[:ORDINARY_SAMPLES]], 2 * SIZE)
+    if not toxic or not ordinary:
         return rate
     model = Model(toxic, ordinary.rjust(len(toxic), b"\x03")[-len(toxic) :], np.zeros(9))
     x = np.array([model.features(t) for t in texts])
     return Model(model.toxic, model.ordinary, logistic(x, y, 0.1))
 
 
+def area(scores: np.ndarray, y: np.ndarray) -> float:
+    """Area under the receiver operating curve."""
+    order = np.argsort(scores, kind="stable")
+    rank = np.empty(len(y))
+    rank[order] = np.arange(1, len(y) + 1)
+    n = int(y.sum())
+    return float((rank[y == 1].sum() - n * (n + 1) / 2) / max(1, n * (len(y) - n)))
+
+
+def choose(pairs: list[tuple[str, int]], settings: list[dict]) -> list[tuple[float, dict]]:
+    """Settings (module constants by name) with their areas in two-fold cross-validation over training pairs, best first."""
+    y, found = np.array([p[1] for p in pairs], float), []
+    for setting in settings:
+        old = {k: globals()[k] for k in setting}
+        globals().update(setting)
+        try:
+            out = np.zeros(len(pairs))
+            for f in (0, 1):
+                model = train([p for i, p in enumerate(pairs) if i % 2 != f])
+                out[f::2] = model if isinstance(model, float) else model.score([p[0].encode("utf-8", "replace") for p in pairs[f::2]])
+            found.append((area(out, y), setting))
+        finally:
+            globals().update(old)
+    return sorted(found, key=lambda x: -x[0])
+
+
 def scorer(model: Model | float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
