@@ -16,7 +16,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -29,6 +29,8 @@ from .common import lean, read
 from .labelled import held_out, logistic, sample, sigmoid
 
 MAX_DOCS = 4000
+#: Bytes of text whose lines are held as features at once.
+BATCH_BYTES = 2 << 20
 THRESHOLD = 0.7
 ROUNDS = 120
 RIDGE = 1e-3
@@ -151,17 +153,27 @@ def train(pairs: list[tuple[str, int]]) -> Model | float:
     return Model(w, a, max(float(slope), 1e-6), float(bias))
 
 
-def scorer(model: Model | float, batch_bytes: int = 1 << 21):
+def blocks(texts: Iterable[bytes], most: int = BATCH_BYTES, many: int = 256) -> Iterator[list[bytes]]:
+    """Texts in order, in blocks of at most `many` that hold at most `most` bytes or one text."""
+    block: list[bytes] = []
+    size = 0
+    for text in texts:
+        if block and (size + len(text) > most or len(block) >= many):
+            yield block
+            block, size = [], 0
+        block.append(text)
+        size += len(text)
+    if block:
+        yield block
+
+
+def scorer(model: Model | float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or b"" for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
+            texts = (x.as_py() or b"" for x in batch.column(1).cast(pa.large_binary()))
             found: list[float] = []
-            block: list[bytes] = []
-            for k, text in enumerate(texts):
-                block.append(text)
-                if sum(map(len, block[-1:])) >= batch_bytes or len(block) >= 256 or k == len(texts) - 1:
-                    found.extend([model] * len(block) if isinstance(model, float) else model.score(block))
-                    block = []
+            for block in blocks(texts):
+                found.extend([model] * len(block) if isinstance(model, float) else model.score(block))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     return score
