@@ -3,8 +3,10 @@
 The distinct pre-tokens of a task go into a trie. A node keeps the best unigram score
 of the path to it and the number of tokens on that best segmentation, so a shared
 prefix is scored once; a pre-token's count is stored at its end. Documents then add up
-stored counts. Texts never move: there is no shuffle, and a task's trie is bounded,
-being started anew when it reaches MAX_NODES.
+stored counts. Texts never move: there is no shuffle. A Python worker keeps its trie from
+task to task and starts it anew when it reaches MAX_NODES; a pre-token of more than LONG
+characters is scored outside the trie, over a sliding window as wide as the longest piece,
+so a trie holds at most MAX_NODES + LONG nodes whatever the texts hold.
 
 The vocabulary is the public 32k piece model. It is published with merge ranks rather
 than probabilities, so a piece's log probability is that of a Zipf-Mandelbrot law over
@@ -33,6 +35,8 @@ SHIFT = 2.7
 UNKNOWN = 10.0
 MARK = "▁"
 MAX_NODES = 1_000_000
+#: Longer pre-tokens are not kept in the trie.
+LONG = 64
 
 
 @functools.cache
@@ -83,6 +87,8 @@ class CountTrie(dict):
         if len(self.best) >= self.max_nodes:
             self.start()
         text = MARK + token.decode("utf-8", "replace")
+        if len(text) > LONG:
+            return self.long_count(text)
         child, path, node = self.child, [0], 0
         for char in text:
             node = child.get(node << 21 | ord(char))
@@ -103,6 +109,22 @@ class CountTrie(dict):
         self[token] = found = self.count[node]
         return found
 
+    def long_count(self, text: str) -> int:
+        """Tokens of a long pre-token; only the scores within a piece's reach are kept."""
+        reach = 4 * max(LONG, self.longest)
+        best, count = [0.0], [0]
+        base = 0
+        for end in range(1, len(text) + 1):
+            if len(best) > reach:
+                cut = len(best) - self.longest - 1
+                del best[:cut], count[:cut]
+                base += cut
+            part = text[base:end]
+            score, tokens = self._forward(part, len(part), best, count)
+            best.append(score)
+            count.append(tokens)
+        return count[-1]
+
     def _forward(self, text: str, end: int, best: list[float], count: list[int]) -> tuple[float, int]:
         """Best score and its token count for the first end characters, from those of all shorter prefixes."""
         top, tokens, ends = -math.inf, 0, self.ends
@@ -121,8 +143,14 @@ class CountTrie(dict):
         return top, tokens
 
 
+@functools.cache
+def worker_trie() -> CountTrie:
+    """The trie of this Python process."""
+    return CountTrie()
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    trie = CountTrie()
+    trie = worker_trie()
     for batch in batches:
         words, tokens = [], []
         for text in batch.column(1).cast(pa.large_binary()):
