@@ -1,19 +1,26 @@
 """Sharding by a k-d tree with distributed weighted medians (operator 2).
 
-Every document is a point with integer metadata dimensions and a weight, its bytes.
-A node is split at the weighted median of its widest dimension (extent relative to
-the whole table's) until leaves reach the target bytes, so leaves hold near equal
-bytes. Medians come from histograms: sums of weight by bucket, added up map-side, of
-which the driver sees a constant number for each node; the bucket that holds the
-median is refined until it is light or one value wide.
-
-All dimensions but the last are functions of the text, so equal texts stay together.
-The last one, a hash of the id, is used only where a single group of equal texts
-outweighs what the other dimensions can balance.
+Every document is a point with integer metadata dimensions and a weight, its bytes:
+language, source, bytes, characters, lines and a checksum of the text. A node that has
+to become n leaves is split at the weighted quantile of floor(n / 2) / n along its
+widest dimension (extent relative to the whole table's) until each node is one leaf, so
+leaves hold near equal bytes for any number of them.
+
+Quantiles come from histograms: sums of weight by bucket, added up map-side and then
+along the buckets of each node inside Spark; the bucket that holds the quantile is
+refined until it is light or one value wide. The driver sees one row a node and round.
+The tree is a table (node, dimension, cut) a level; points meet it by broadcast joins of
+at most as many rows as there are leaves.
+
+Equal texts stay together: a group of them has one language and source, the smallest
+that occur in it. Only groups that differ within are joined for that. The last dimension,
+a hash of the id, is used only where a single group of equal texts outweighs what the
+other dimensions can balance.
 
 Defined cases: a null text has no bytes, weight 1 and the checksum of the empty text;
-repeated rows are points of their own; a null id is an id like others; an empty table
-gives an empty result; other columns of the input are ignored.
+null languages and sources come first; repeated rows are points of their own; a null id
+is an id like others; an empty table gives an empty result; columns other than doc_id,
+text, lang and source are ignored, and the latter two may be missing.
 """
 
 from __future__ import annotations
@@ -24,131 +31,153 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Workspace, read
+from .common import Workspace, bounded_broadcast, read
 
 BUCKETS = 4096
-#: Imbalance of a split, as a part of the node's weight, up to which the widest dimension is kept.
+#: Imbalance of a split, as a part of the node's weight, up to which a wider dimension is kept.
 TOLERANCE = 0.01
 #: A bucket lighter than this part of its node need not be refined.
 FINE = 0.0005
 SLOT_BLOCK = 20_000
-DIMENSIONS = ("size", "chars", "text_crc32", "mark", "id_mark")
+DIMENSIONS = ("lang_mark", "source_mark", "size", "chars", "lines", "text_crc32", "id_mark")
+#: Groups of equal texts whose languages or sources differ, up to which they are broadcast.
+BROADCAST_GROUPS = 100_000
+
+
+def _mark(name: Column) -> Column:
+    """The first seven bytes of a name as a number, in the names' order; -1 for null."""
+    head = F.rpad(F.hex(F.substring(name.cast("binary"), 1, 7)), 14, "0")
+    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1).cast("long"))
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, chars, mark, id_mark): one point a document."""
+    """(doc_id, size, text_crc32, and the dimensions): one point a document."""
     text = F.coalesce("text", F.lit(""))
-    low = F.lit(0xFFFFFFFF)
-    return docs.select(
+    of = lambda c: _mark(F.col(c)) if c in docs.columns else F.lit(-1).cast("long")
+    each = docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.length(text).cast("long").alias("chars"),
-        F.xxhash64(text).bitwiseAND(low).alias("mark"),
-        F.xxhash64(F.lit("id"), "doc_id").bitwiseAND(low).alias("id_mark"),
+        (F.octet_length(text) - F.octet_length(F.translate(text, "\n", ""))).cast("long").alias("lines"),
+        of("lang").alias("lang_mark"),
+        of("source").alias("source_mark"),
+        F.xxhash64(text).alias("mark"),
+        F.xxhash64(F.lit("id"), "doc_id").bitwiseAND(F.lit(0xFFFFFFFF)).alias("id_mark"),
     )
+    names = ("lang_mark", "source_mark")
+    groups = each.groupBy("mark", "size", "text_crc32").agg(*[f(c).alias(f"{p}_{c}") for c in names for p, f in (("lo", F.min), ("hi", F.max))])
+    mixed = groups.filter(" OR ".join(f"lo_{c} <> hi_{c}" for c in names)).drop(*[f"hi_{c}" for c in names])
+    joined = each.join(bounded_broadcast(mixed), ["mark", "size", "text_crc32"], "left")
+    return joined.select("doc_id", "size", "text_crc32", "chars", "lines", "id_mark", *[F.coalesce(f"lo_{c}", c).alias(c) for c in names])
 
 
 class KdTree:
-    """A complete binary tree: for each level, the dimension and threshold of each node."""
+    """Splits by level: rows (node, dimension, cut) of the nodes that are split; a node's children are 2n and 2n + 1."""
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[list[int], list[int]]] = []
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.levels: list[list[tuple[int, int, int]]] = []
 
-    def node(self) -> Column:
-        """The leaf of a point: one array lookup a level, inside generated code."""
-        at = F.lit(0)
+    def leaves(self, at: DataFrame) -> DataFrame:
+        """at with the column node, its leaf so far."""
+        at = at.withColumn("node", F.lit(1).cast("long"))
         values = F.array(*[F.col(d) for d in DIMENSIONS])
-        for dims, cuts in self.levels:
-            dim = F.get(F.array(*[F.lit(x) for x in dims]), at)
-            cut = F.get(F.array(*[F.lit(x).cast("long") for x in cuts]), at)
-            at = at * 2 + (F.get(values, dim) > cut).cast("int")
+        for level in self.levels:
+            table = F.broadcast(self.spark.createDataFrame(level, "node long, _dim int, _cut long"))  # a row a split node
+            low = F.get(values, F.col("_dim")) <= F.col("_cut")
+            at = at.join(table, "node", "left").withColumn(
+                "node", F.when(F.col("_dim").isNull(), F.col("node")).otherwise(F.col("node") * 2 + F.when(low, 0).otherwise(1))
+            ).drop("_dim", "_cut")
         return at
 
 
-def _medians(at: DataFrame, chosen: dict[int, tuple[int, int, int]], total: dict[int, int], dims: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """For each node of chosen (dim, low, high): the cut nearest to half its weight, and the weight at or below it."""
-    below = dict.fromkeys(chosen, 0)
-    spans = {n: (lo, hi) for n, (_, lo, hi) in chosen.items()}
-    found: dict[int, tuple[int, int]] = {}
-    width = max(chosen) + 1
+def _quantiles(at: DataFrame, chosen: dict[tuple[int, int], tuple[int, int]], total: dict[int, int], share: dict[int, float]) -> dict[tuple[int, int], tuple[int, int]]:
+    """For each (node, dimension) with its span: the cut nearest to the node's share of the weight, and the weight at or below it."""
+    spark = at.sparkSession
+    spans = {key: (lo, hi, 0) for key, (lo, hi) in chosen.items()}
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    value = F.get(F.array(*[F.col(d) for d in DIMENSIONS]), F.col("_dim"))
     while spans:
-        lows = F.array(*[F.lit(spans.get(n, (0, -1))[0]).cast("long") for n in range(width)])
-        highs = F.array(*[F.lit(spans.get(n, (0, -1))[1]).cast("long") for n in range(width)])
-        steps = F.array(*[F.lit(max(1, -(-(spans[n][1] - spans[n][0] + 1) // BUCKETS)) if n in spans else 1).cast("long") for n in range(width)])
-        dim = F.array(*[F.lit(dims.get(n, 0)) for n in range(width)])
-        value = F.get(F.array(*[F.col(d) for d in DIMENSIONS]), F.get(dim, F.col("node")))
-        rows = (
-            at.withColumn("_v", value)
-            .filter((F.col("_v") >= F.get(lows, F.col("node"))) & (F.col("_v") <= F.get(highs, F.col("node"))))
-            .groupBy("node", ((F.col("_v") - F.get(lows, F.col("node"))) / F.get(steps, F.col("node"))).cast("long").alias("bucket"))
-            .agg(F.sum("size").alias("weight"))
-            .collect()  # at most BUCKETS rows a node
+        rows = [(n, d, lo, hi, max(1, -(-(hi - lo + 1) // BUCKETS)), below, share[n] * total[n]) for (n, d), (lo, hi, below) in spans.items()]
+        asked = F.broadcast(spark.createDataFrame(rows, "node long, _dim int, _lo long, _hi long, _step long, _below long, _want double"))
+        hist = (
+            at.join(asked, "node").withColumn("_v", value).filter("_v BETWEEN _lo AND _hi")
+            .groupBy("node", "_dim", F.expr("(_v - _lo) div _step").alias("bucket"))
+            .agg(F.sum("size").alias("weight"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.first("_below").alias("_below"), F.first("_want").alias("_want"))
         )
-        nexts: dict[int, tuple[int, int]] = {}
-        for n, (lo, hi) in spans.items():
-            step = max(1, -(-(hi - lo + 1) // BUCKETS))
-            half, run = total[n] / 2, below[n]
-            for bucket, weight in sorted((r["bucket"], r["weight"]) for r in rows if r["node"] == n):
-                if run + weight >= half:
-                    start = lo + bucket * step
-                    if step > 1 and weight > FINE * total[n]:
-                        below[n], nexts[n] = run, (start, min(hi, start + step - 1))
-                    elif half - run < run + weight - half:
-                        found[n] = (start - 1, run)
-                    else:
-                        found[n] = (start + step - 1, run + weight)
-                    break
-                run += weight
+        along = W.partitionBy("node", "_dim").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
+        reached = hist.withColumn("run", F.sum("weight").over(along) + F.col("_below")).filter("run >= _want")
+        nexts: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for r in reached.groupBy("node", "_dim").agg(F.min(F.struct("bucket", "weight", "run", "least", "most")).alias("b")).collect():  # a row a node and dimension
+            key, b = (r["node"], r["_dim"]), r["b"]
+            want, before = share[key[0]] * total[key[0]], b["run"] - b["weight"]
+            if b["least"] < b["most"] and b["weight"] > FINE * total[key[0]]:
+                nexts[key] = (b["least"], b["most"], before)
+            else:
+                found[key] = (b["least"] - 1, before) if want - before < b["run"] - want else (b["most"], b["run"])
         spans = nexts
     return found
 
 
-def build_tree(at_root: DataFrame, target_bytes: int | None = None, shards: int | None = None) -> KdTree:
-    """Split until leaves reach target_bytes (or into a power of two of shards)."""
-    tree = KdTree()
-    whole = at_root.agg(F.sum("size").alias("w"), *[f(d).alias(f"{n}{i}") for i, d in enumerate(DIMENSIONS) for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    if whole["w"] is None:
-        return tree
-    depth = int(math.log2(shards)) if shards else max(0, math.ceil(math.log2(max(1, whole["w"] / target_bytes))))
-    extent = [max(1, whole[f"hi{i}"] - whole[f"lo{i}"]) for i in range(len(DIMENSIONS))]
-    for level in range(depth):
-        at = at_root.withColumn("node", tree.node())
-        stats = {
-            r["node"]: r
-            for r in at.groupBy("node").agg(F.sum("size").alias("w"), *[f(d).alias(f"{n}{i}") for i, d in enumerate(DIMENSIONS) for n, f in (("lo", F.min), ("hi", F.max))]).collect()
-        }
-        total = {n: r["w"] for n, r in stats.items()}
+def build_tree(at_root: DataFrame, leaves: int) -> tuple[KdTree, dict[int, int]]:
+    """The tree, and the leaf number of each of its final nodes."""
+    tree = KdTree(at_root.sparkSession)
+    ends = [f(d).alias(f"{n}{i}") for i, d in enumerate(DIMENSIONS) for n, f in (("lo", F.min), ("hi", F.max))]
+    parts, extent = {1: (0, leaves)}, None
+    while any(n > 1 for _, n in parts.values()):
+        stats = {r["node"]: r for r in tree.leaves(at_root).groupBy("node").agg(F.sum("size").alias("w"), *ends).collect()}  # a row a node
+        open_ = {n for n, (_, many) in parts.items() if many > 1 and n in stats}
+        if not open_:
+            break
+        extent = extent or [max(1, stats[1][f"hi{i}"] - stats[1][f"lo{i}"]) for i in range(len(DIMENSIONS))]
+        total = {n: stats[n]["w"] for n in open_}
+        share = {n: (parts[n][1] // 2) / parts[n][1] for n in open_}
         last = len(DIMENSIONS) - 1
-        ranked = {n: sorted(range(last), key=lambda i: (-(r[f"hi{i}"] - r[f"lo{i}"]) / extent[i], i)) + [last] for n, r in stats.items()}
+        wide = {n: [(stats[n][f"hi{i}"] - stats[n][f"lo{i}"]) / extent[i] for i in range(len(DIMENSIONS))] for n in open_}
+        ranked = {n: [i for i in sorted(range(last), key=lambda i: (-wide[n][i], i)) if wide[n][i] > 0] + [last] for n in open_}
         best: dict[int, tuple[float, int, int]] = {}
-        waiting = set(stats)
-        for turn in range(len(DIMENSIONS)):
-            if not waiting:
-                break
-            dims = {n: ranked[n][turn] for n in waiting}
-            chosen = {n: (dims[n], stats[n][f"lo{dims[n]}"], stats[n][f"hi{dims[n]}"]) for n in waiting}
-            for n, (cut, left) in _medians(at, chosen, total, dims).items():
-                off = abs(left - total[n] / 2) / max(1, total[n])
-                if n not in best or off < best[n][0] - (TOLERANCE if turn < last else 2 * TOLERANCE):
-                    best[n] = (off, dims[n], cut)
+        at, waiting = tree.leaves(at_root), set(open_)
+        for dims in (range(last), [last]):
+            asked = {(n, d): (stats[n][f"lo{d}"], stats[n][f"hi{d}"]) for n in waiting for d in ranked[n] if d in dims}
+            cuts = _quantiles(at, asked, total, share)
+            for n in waiting:
+                for d in ranked[n]:  # the widest dimension, unless another one splits better by more than is tolerated
+                    if (n, d) in cuts:
+                        cut, left = cuts[n, d]
+                        off = abs(left - share[n] * total[n]) / max(1, total[n])
+                        if n not in best or best[n][0] > TOLERANCE and off < best[n][0] - (2 * TOLERANCE if d == last else TOLERANCE):
+                            best[n] = (off, d, cut)
             waiting = {n for n in waiting if n not in best or best[n][0] > TOLERANCE}
-        nodes = range(2**level)
-        tree.levels.append(([best[n][1] if n in best else 0 for n in nodes], [best[n][2] if n in best else 0 for n in nodes]))
-    return tree
+        tree.levels.append([(n, best[n][1], best[n][2]) for n in sorted(best)])
+        nexts = {}
+        for n, (first, many) in parts.items():
+            if n in best:
+                nexts[2 * n], nexts[2 * n + 1] = (first, many // 2), (first + many // 2, many - many // 2)
+            else:
+                nexts[n] = (first, many)
+        parts = nexts
+        if not best:
+            break
+    return tree, {n: first for n, (first, _) in parts.items()}
 
 
 def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None = None) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot): every document in one leaf, at a gapless slot of it.
+    """(doc_id, size, text_crc32, shard, slot): every document in one of `shards` leaves (or of as many as target_bytes asks for).
 
     Slots are numbered within blocks of a bounded number of rows, and shifted by the
     counts of the blocks before, so that no task sees a whole shard.
     """
-    space = Workspace(docs.sparkSession, "shard")
+    spark = docs.sparkSession
+    space = Workspace(spark, "shard")
     at = space.write(points(docs), "points")
-    leaves = at.withColumn("shard", build_tree(at, target_bytes, shards).node())
-    blocks = max(1, at.count() // (SLOT_BLOCK * (shards or 1)))
-    dealt = leaves.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))
+    whole = at.agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).first()
+    leaves = shards or max(1, math.ceil((whole["w"] or 0) / target_bytes))
+    tree, number = build_tree(at, leaves)
+    numbers = F.broadcast(spark.createDataFrame(sorted(number.items()), "node long, shard int"))  # a row a leaf
+    leaved = tree.leaves(at).join(numbers, "node")
+    blocks = max(1, whole["n"] // (SLOT_BLOCK * leaves))
+    dealt = leaved.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(blocks)).cast("int"))
     before = W.partitionBy("shard").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     starts = dealt.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n")).select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     own = W.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size")
