@@ -15,13 +15,17 @@ A document is the set of its word shingles, as 64-bit hashes. The join runs in s
    rule out a link, and pairs whose documents are all connected already; at the leaves
    sets are intersected.
 4. A block of more than BLOCK classes is dealt out: parts are joined alone, then their
-   components' representatives, and then all pairs of parts as far as the block is not
-   yet connected, so that no task holds more than two parts.
+   components' representatives. In a block that is not connected by then, classes meet
+   again by each band they share, as far as the band's classes are not yet connected;
+   bands with the same classes count once, and those of more than BLOCK classes are
+   dealt out as pairs of parts. So no task holds more than two parts, and a text is
+   shuffled as often as it shares an open band, not once a part of its block.
 
 Defined cases: a document with fewer words than a shingle is one shingle of all its
 words; without words or text it has no shingle and is a component of its own; rows that
-repeat an id and a text get one row each with equal values; ids are otherwise unique; an
-empty table gives an empty result; other columns pass `keep_one` untouched.
+repeat an id and a text get one row each with equal values; rows without an id get their
+set's size and no component, link nothing, and all stay in `keep_one`; an empty table
+gives an empty result; other columns pass `keep_one` untouched.
 """
 
 from __future__ import annotations
@@ -40,8 +44,7 @@ from .graph import components
 
 ROWS = 3
 MISS = 1e-13
-BLOCK, BLOCK_SHINGLES = 2000, 8_000_000
-BROADCAST_MEMBERS = 400_000
+BLOCK, BLOCK_SHINGLES = 512, 2_000_000
 FANOUT = 8
 U64 = np.uint64
 _P, _C = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
@@ -253,7 +256,7 @@ def _joiner(k: int, percent: int):
 
 def _links(docs: DataFrame, members: DataFrame, k: int, percent: int) -> DataFrame:
     """members (rep, digest, task, known) to links (a, b) within each task; texts are read again for members alone."""
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(bounded_broadcast(members, BROADCAST_MEMBERS), "rep")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(bounded_broadcast(members), "rep")
     dealt = texts.select("rep", "digest", "task", "known", "text").repartition("task").sortWithinPartitions("task")
     return dealt.mapInArrow(lean(_joiner(k, percent)), "a long, b long")
 
@@ -263,8 +266,9 @@ def ngram_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     space = Workspace(docs.sparkSession, "ngram")
     docs = docs.select("doc_id", "text")
     light = space.write(docs.mapInArrow(lean(_signer(k, percent / 100)), "doc_id long, n long, digest binary, keys array<long>"), "light")
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     classes = space.write(
-        light.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes"
+        light.filter(linked).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes"
     )
     bands = classes.select("rep", F.explode("keys").alias("key"))
     shared = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("many")).filter("many > 1").drop("many")
@@ -276,44 +280,57 @@ def ngram_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     )
     big = space.write(sizes.filter("parts > 1"), "big")
     part = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int")
-    members = space.write(members.join(bounded_broadcast(big, 100_000), "block", "left").withColumn("part", part), "parted")
+    members = space.write(members.join(bounded_broadcast(big), "block", "left").withColumn("part", part), "parted")
     first = members.select("rep", "digest", F.concat_ws("/", "block", "part").alias("task"), F.col("rep").alias("known"))
     links = space.write(_links(docs, first, k, percent), "links")
     if not big.isEmpty():
-        links = _across(docs, members.filter("parts IS NOT NULL"), links, space, k, percent)
+        links = _across(docs, classes, members.filter("parts IS NOT NULL"), links, space, k, percent)
     else:
         links = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     found = classes.select("digest", "rep").join(links, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
-    return light.join(found, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    with_set = light.filter(linked).join(found, "digest").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return with_set.union(light.filter(~linked).select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
-def _across(docs, members, links, space, k, percent) -> DataFrame:
-    """Links between the parts of big blocks: representatives first, then the pairs of parts not yet connected."""
+def _across(docs, classes, members, links, space, k, percent) -> DataFrame:
+    """Links between the parts of big blocks: representatives first, then band by band what is not yet connected."""
     leads = links.filter("a = b").select(F.col("a").alias("rep"))
     heads = members.join(leads, "rep").select("rep", "digest", F.concat_ws("/", "block", F.lit("heads")).alias("task"), F.col("rep").alias("known"))
     few = members.join(leads, "rep").groupBy("block").count().filter(f"count <= {BLOCK}").select("block")
-    heads = heads.join(members.join(bounded_broadcast(few, 100_000), "block", "left_semi").select("rep"), "rep", "left_semi")
+    heads = heads.join(members.join(bounded_broadcast(few), "block", "left_semi").select("rep"), "rep", "left_semi")
     links = space.write(links.union(_links(docs, heads, k, percent)), "links-heads")
     labels = components(links, space, "heads").select(F.col("node").alias("rep"), "label")
     known = space.write(members.join(labels, "rep", "left").withColumn("known", F.coalesce("label", "rep")), "known")
     open_blocks = known.groupBy("block").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).filter("lo <> hi").select("block")
-    pairs = (
-        known.join(bounded_broadcast(open_blocks, 100_000), "block", "left_semi")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("other <> part")
-        .select("rep", "digest", F.concat_ws("/", "block", F.least("part", "other"), F.greatest("part", "other")).alias("task"), "known")
+    live = known.join(bounded_broadcast(open_blocks), "block", "left_semi").select("rep", "digest", "known")
+    keyed = space.write(classes.select("rep", F.explode("keys").alias("key")).join(live, "rep"), "keyed")
+    groups = (
+        keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("known").alias("lo"), F.max("known").alias("hi"), F.expr("bit_xor(xxhash64(rep))").alias("who"))
+        .filter("lo <> hi").groupBy("many", "lo", "hi", "who").agg(F.min("key").alias("key"))
     )
-    links = space.write(links.union(_links(docs, pairs, k, percent)), "links-all")
+    dealt = keyed.join(groups.select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("parts")), "key")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    one = dealt.filter("parts = 1").select("rep", "digest", F.col("key").cast("string").alias("task"), "known")
+    many = (
+        dealt.filter("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("other <> part")
+        .select("rep", "digest", F.concat_ws("/", "key", F.least("part", "other"), F.greatest("part", "other")).alias("task"), "known")
+    )
+    links = space.write(links.union(_links(docs, space.write(one.union(many), "across"), k, percent)), "links-all")
     return components(links, space, "all")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without near copies: of every component the document with the smallest id."""
+    """docs without near copies: of every component the document with the smallest id. Of rows with that id and one text, one stays."""
     space = Workspace(docs.sparkSession, "keep")
     found = space.write(ngram_components(docs, k, percent), "components")
-    copies = bounded_broadcast(found.filter("doc_id <> component_id").select("doc_id").distinct(), BROADCAST_MEMBERS)
+    copies = bounded_broadcast(space.write(found.filter("doc_id <> component_id").select("doc_id").distinct(), "copies"))
     kept = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    repeated = found.groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    repeated = space.write(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    repeated = bounded_broadcast(repeated)
+    again = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(again)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
