@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +13,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word, here and in every contract of the package: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,14 +24,25 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session on this machine alone gets a temporary folder; on a
+    cluster that is an error, since executors do not see each other's folders.
+    """
+    context = spark.sparkContext
+    root = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _own_root()
     return root.rstrip("/")
 
 
+@functools.cache
+def _own_root() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="quire-")
+
+
 class Workspace:
     """Tables written to the shared folder, which cut lineage and survive lost executors.
 
@@ -55,9 +69,27 @@ class Workspace:
             pass
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most max_rows rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+#: Bytes of data up to which a table is broadcast.
+BROADCAST_BYTES = 32 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row holds, in bytes."""
+
+    def of(name: str, kind: T.DataType) -> Column:
+        c = F.col(f"`{name}`")
+        if isinstance(kind, T.StringType | T.BinaryType):
+            return F.octet_length(c)
+        if isinstance(kind, T.ArrayType):
+            return F.size(c) * 8 * (len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 1)
+        return F.lit(8)
+
+    return sum((F.coalesce(of(f.name, f.dataType), F.lit(0)) for f in df.schema.fields), F.lit(16)).cast("long")
+
+
+def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df with a broadcast hint if its rows hold at most max_bytes; else as it is, for a shuffled join."""
+    return F.broadcast(df) if (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= max_bytes else df
 
 
 def word_count(text: Column) -> Column:

@@ -23,8 +23,6 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MAX_RATE = 2.0
 SEED = "mix"
-#: Sources up to this many are broadcast; more are joined by shuffle.
-BROADCAST_SOURCES = 100_000
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_rate: float = MAX_RATE) -> DataFrame:
@@ -63,7 +61,7 @@ def copies_of(key, size, source_size, target):
 
 
 def _targets(sized: DataFrame, space: Workspace, **shares) -> DataFrame:
-    return bounded_broadcast(space.write(source_targets(sized, **shares), "targets"), BROADCAST_SOURCES)
+    return bounded_broadcast(space.write(source_targets(sized, **shares), "targets"))
 
 
 def mixing_plan(docs: DataFrame, **shares) -> DataFrame:

@@ -35,13 +35,13 @@ from .common import Workspace, bounded_broadcast, read
 
 BUCKETS = 4096
 #: Imbalance of a split, as a part of the node's weight, up to which a wider dimension is kept.
-TOLERANCE = 0.01
+TOLERANCE = 0.004
+#: Imbalance beyond which equal texts are dealt over both sides.
+GROUP_TOLERANCE = 0.02
 #: A bucket lighter than this part of its node need not be refined.
 FINE = 0.0005
 SLOT_BLOCK = 20_000
 DIMENSIONS = ("lang_mark", "source_mark", "size", "chars", "lines", "text_crc32", "id_mark")
-#: Groups of equal texts whose languages or sources differ, up to which they are broadcast.
-BROADCAST_GROUPS = 100_000
 
 
 def _mark(name: Column) -> Column:
@@ -50,11 +50,11 @@ def _mark(name: Column) -> Column:
     return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1).cast("long"))
 
 
-def points(docs: DataFrame) -> DataFrame:
+def points(docs: DataFrame, space: Workspace) -> DataFrame:
     """(doc_id, size, text_crc32, and the dimensions): one point a document."""
     text = F.coalesce("text", F.lit(""))
     of = lambda c: _mark(F.col(c)) if c in docs.columns else F.lit(-1).cast("long")
-    each = docs.select(
+    each = space.write(docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -64,10 +64,11 @@ def points(docs: DataFrame) -> DataFrame:
         of("source").alias("source_mark"),
         F.xxhash64(text).alias("mark"),
         F.xxhash64(F.lit("id"), "doc_id").bitwiseAND(F.lit(0xFFFFFFFF)).alias("id_mark"),
-    )
+    ), "raw")
     names = ("lang_mark", "source_mark")
     groups = each.groupBy("mark", "size", "text_crc32").agg(*[f(c).alias(f"{p}_{c}") for c in names for p, f in (("lo", F.min), ("hi", F.max))])
     mixed = groups.filter(" OR ".join(f"lo_{c} <> hi_{c}" for c in names)).drop(*[f"hi_{c}" for c in names])
+    mixed = space.write(mixed, "mixed")
     joined = each.join(bounded_broadcast(mixed), ["mark", "size", "text_crc32"], "left")
     return joined.select("doc_id", "size", "text_crc32", "chars", "lines", "id_mark", *[F.coalesce(f"lo_{c}", c).alias(c) for c in names])
 
@@ -146,7 +147,7 @@ def build_tree(at_root: DataFrame, leaves: int) -> tuple[KdTree, dict[int, int]]
                     if (n, d) in cuts:
                         cut, left = cuts[n, d]
                         off = abs(left - share[n] * total[n]) / max(1, total[n])
-                        if n not in best or best[n][0] > TOLERANCE and off < best[n][0] - (2 * TOLERANCE if d == last else TOLERANCE):
+                        if n not in best or best[n][0] > TOLERANCE and off < best[n][0] - (GROUP_TOLERANCE if d == last else TOLERANCE):
                             best[n] = (off, d, cut)
             waiting = {n for n in waiting if n not in best or best[n][0] > TOLERANCE}
         tree.levels.append([(n, best[n][1], best[n][2]) for n in sorted(best)])
@@ -170,7 +171,7 @@ def shard(docs: DataFrame, shards: int | None = None, target_bytes: int | None =
     """
     spark = docs.sparkSession
     space = Workspace(spark, "shard")
-    at = space.write(points(docs), "points")
+    at = space.write(points(docs, space), "points")
     whole = at.agg(F.sum("size").alias("w"), F.count(F.lit(1)).alias("n")).first()
     leaves = shards or max(1, math.ceil((whole["w"] or 0) / target_bytes))
     tree, number = build_tree(at, leaves)

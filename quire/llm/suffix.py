@@ -431,7 +431,7 @@ def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     items = spans.limit(BROADCAST_DOCS + 1).agg(F.sum(F.size("spans"))).first()[0] or 0
     spans = spans.withColumnRenamed("doc_id", "_span_id").withColumnRenamed("spans", "_spans")
     if items <= BROADCAST_ITEMS:
-        spans = bounded_broadcast(spans, BROADCAST_DOCS)
+        spans = bounded_broadcast(spans)
     return docs.join(spans, docs["doc_id"] == F.col("_span_id"), "left").drop("_span_id")
 
 
