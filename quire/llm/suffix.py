@@ -19,11 +19,17 @@ meet, and each meeting place is settled by merging transforms:
    out anew, stably, by the symbols before it. No suffix is compared or sorted again.
    Blocks that are still one after LENGTH symbols are the common prefixes of at least
    that length, and their members but the first are the repeats.
-4. Spans from 2 and 3 are merged for each document and cut out.
+4. A minimiser with more than HOT runs is settled in parts of about HOT runs, so that no
+   task holds all of them. Each part is merged as in 3; the strings that are first in
+   their part leave it as 128-bit hashes, and of equal ones all but the first of all
+   parts are repeats.
+5. Spans from 2 to 4 are merged for each document and cut out.
 
 Defined cases: a null or empty text is zero bytes and keeps the hash of the empty
 string; texts shorter than LENGTH lose nothing; ids are unique, and rows that repeat an
-id and text are one document with a result each; an empty table gives an empty result;
+id and text are one document with a result each; rows without an id take no part: they
+lose nothing, and no other row loses anything for them; an empty table gives an empty
+result;
 `remove_repeats` keeps all columns, shrinks cuts to whole characters and drops
 documents that are left empty by the cuts.
 """
@@ -47,8 +53,10 @@ CHUNK, SHARD, BLOCK = 1 << 20, 1 << 16, 1 << 19
 STEP = 3
 #: Bytes of text that a worker cuts into runs at once.
 PART = 4 << 20
-#: Documents, runs to fetch and spans up to which a table is broadcast.
-BROADCAST_DOCS, BROADCAST_RUNS, BROADCAST_ITEMS = 300_000, 10_000, 400_000
+#: Runs of one minimiser up to which they are settled by one task.
+HOT = 512
+#: Bytes of lists up to which they are broadcast with the documents' ids.
+BROADCAST_LISTS = 4 << 20
 U64 = np.uint64
 #: Bits of a minimiser that hold its place in the chunk.
 PLACE = U64((1 << 21) - 1)
@@ -171,7 +179,7 @@ def _cutter(length: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for names, texts in parts(batches):
-            ids = np.array([-1 if x is None else x for x in names], np.int64)
+            ids = np.array(names, np.int64)
             doc, start, many, key, mark, right, left = runs(texts, length)
             doc = ids[doc]
             order = np.lexsort((start, doc, mark, key))
@@ -259,8 +267,8 @@ def merge_shards(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.n
     return at, block
 
 
-def later_strings(texts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans (doc, start, end) of the strings of texts that also start earlier in another text or place."""
+def later_starts(texts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, offset) of the strings of texts that also start earlier in another text or place."""
     mark = np.zeros(1, np.uint16)
     shards, parts, size = [], [], 0
     for t in texts:
@@ -285,7 +293,7 @@ def later_strings(texts: list[bytes], doc: np.ndarray, start: np.ndarray, length
     text, offset, block = text[whole], offset[whole], block[whole]
     d, p = doc[text], start[text] + offset
     order = np.lexsort((p, d, block))
-    d, p, block = d[order], p[order], block[order]
+    d, p, block, text, offset = (x[order] for x in (d, p, block, text, offset))
     again = np.zeros(len(d), bool)
     again[1:] = block[1:] == block[:-1]
     twin = again.copy()
@@ -293,22 +301,39 @@ def later_strings(texts: list[bytes], doc: np.ndarray, start: np.ndarray, length
     # a twin of a first string is a first string itself
     lead = np.maximum.accumulate(np.where(again, 0, np.arange(len(d)))) if len(d) else np.empty(0, int)
     again &= ~(twin & (d == d[lead]) & (p == p[lead]))
-    return _merged(d[again], p[again], p[again] + length)
+    return text[again], offset[again]
+
+
+def later_strings(texts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans (doc, start, end) of the strings of texts that also start earlier in another text or place."""
+    text, offset = later_starts(texts, doc, start, length)
+    place = start[text] + offset
+    return _merged(doc[text], place, place + length)
+
+
+#: What the fetcher gives: a run with its text, its key, and the part of the key it is settled in.
+FETCHED = "key long, part int, doc_id long, start long, run binary"
 
 
 def _fetcher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, wanted) to a row (key, doc_id, start, run) for each wanted run."""
+    """(doc_id, text, wanted) to a row of FETCHED for each wanted run."""
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+    names = [x.split()[0] for x in FETCHED.split(", ")]
+
+    def rows(out: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+
     for batch in batches:
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[] for _ in kinds]
         for doc_id, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()), batch.column(2).to_pylist()):
             raw = text.as_py() or b""
             for w in wanted:
-                for column, x in zip(out, (w["key"], doc_id, w["start"], raw[w["start"] : w["end"]])):
+                for column, x in zip(out, (w["key"], w["part"], doc_id, w["start"], raw[w["start"] : w["end"]])):
                     column.append(x)
             if len(out[0]) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "doc_id", "start", "run"])
-                out = [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "doc_id", "start", "run"])
+                yield rows(out)
+                out = [[] for _ in kinds]
+        yield rows(out)
 
 
 def _resolver(length: int):
@@ -335,45 +360,101 @@ def _resolver(length: int):
     return run
 
 
+def _part_resolver(length: int):
+    """Runs (key, part, doc_id, start, run) sorted by key and part to spans, and to the hashes (mark) of strings first in their part."""
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        texts, doc, start = [r[4] for r in rows], np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
+        text, offset = later_starts(texts, doc, start, length)
+        d, s, e = _merged(doc[text], start[text] + offset, start[text] + offset + length)
+        gone = [set() for _ in rows]
+        for t, o in zip(text.tolist(), offset.tolist()):
+            gone[t].add(o)
+        first = [(t, o) for t in range(len(rows)) for o in range(len(texts[t]) - length + 1) if o not in gone[t]]
+        marks = [xxhash.xxh3_128_digest(texts[t][o : o + length]) for t, o in first]
+        n = len(first)
+        at = np.array(first, np.int64).reshape(n, 2)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([d, doc[at[:, 0]]])), pa.array(np.concatenate([s, start[at[:, 0]] + at[:, 1]])),
+                pa.array(np.concatenate([e, start[at[:, 0]] + at[:, 1] + length])), pa.array([None] * len(d) + marks, pa.binary()),
+            ],
+            names=["doc_id", "start", "end", "mark"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for r in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if rows and r[:2] != rows[-1][:2]:
+                    yield flush(rows)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield flush(rows)
+
+    return run
+
+
+def _hot_spans(docs: DataFrame, runs: DataFrame, space: Workspace, length: int) -> DataFrame:
+    """Spans (doc_id, start, end) among the runs of minimisers with many runs (parts: how many parts they make)."""
+    place = F.struct("doc_id", "start")
+    firsts = space.write(runs.groupBy("key", "mark").agg(F.min(place).alias("f"), F.first("many").alias("many"), F.first("parts").alias("parts")), "hot-firsts")
+    same = runs.join(firsts.select("key", "mark", "f"), ["key", "mark"]).filter(place != F.col("f"))
+    known = same.select("doc_id", "start", (F.col("start") + F.col("many") + length - 1).alias("end"))
+    part = F.pmod(F.xxhash64("f"), F.col("parts")).cast("int")
+    lists = firsts.select(F.col("f.doc_id").alias("doc_id"), F.struct("key", part.alias("part"), F.col("f.start").alias("start"), (F.col("f.start") + F.col("many") + length - 1).alias("end")).alias("w"))
+    wanted = space.write(lists.groupBy("doc_id").agg(F.collect_list("w").alias("wanted")), "hot-wanted")
+    texts = _with_list(docs, wanted, "wanted").mapInArrow(lean(_fetcher), FETCHED)
+    settled = texts.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "doc_id", "start", "run")
+    settled = space.write(settled.mapInArrow(lean(_part_resolver(length), 1 << 14), "doc_id long, start long, end long, mark binary"), "hot-settled")
+    order = F.rank().over(W.partitionBy("mark").orderBy("doc_id", "start"))
+    later = settled.filter("mark IS NOT NULL").withColumn("place", order).filter("place > 1")
+    return known.union(settled.filter("mark IS NULL").select("doc_id", "start", "end")).union(later.select("doc_id", "start", "end"))
+
+
 def repeated_spans(docs: DataFrame, space: Workspace, length: int = LENGTH) -> DataFrame:
     """(doc_id, spans) of every document with repeats."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
     cut = space.write(docs.mapInArrow(lean(_cutter(length), 1 << 14), "doc_id long, start long, many long, key long, mark long, right int, left int"), "runs")
+    runs = cut.filter("key IS NOT NULL")
+    hot = space.write(runs.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("parts")), "hot")
+    few = bounded_broadcast(hot)
     by_text, by_key = W.partitionBy("key", "mark").orderBy("doc_id", "start"), W.partitionBy("key")
     ranked = (
-        cut.filter("key IS NOT NULL").withColumn("place", F.rank().over(by_text))
+        runs.join(few, "key", "left_anti").repartition("key").withColumn("place", F.rank().over(by_text))
         .withColumn("lo", F.min("mark").over(by_key)).withColumn("hi", F.max("mark").over(by_key))
         .filter("place > 1 OR lo <> hi")
         .select("doc_id", "start", (F.col("start") + F.col("many") + length - 1).alias("end"), "key", "right", "left", (F.col("place") > 1).alias("known"))
     )
     ranked = space.write(ranked, "ranked")
     meets = F.greatest(*[F.count(side).over(W.partitionBy("key", side)) for side in ("right", "left")]) > 1
-    wanted = ranked.filter("NOT known").withColumn("meets", meets).filter("meets").groupBy("doc_id").agg(F.collect_list(F.struct("key", "start", "end")).alias("wanted"))
-    fetched = _with_list(docs, space.write(wanted, "wanted"), "wanted")
-    texts = fetched.mapInArrow(lean(_fetcher), "key long, doc_id long, start long, run binary")
+    cold = ranked.filter("NOT known").repartition("key").withColumn("meets", meets).filter("meets")
+    wanted = cold.groupBy("doc_id").agg(F.collect_list(F.struct("key", F.lit(0).alias("part"), "start", "end")).alias("wanted"))
+    texts = _with_list(docs, space.write(wanted, "wanted"), "wanted").mapInArrow(lean(_fetcher), FETCHED).drop("part")
     partly = texts.repartition("key").sortWithinPartitions("key").mapInArrow(lean(_resolver(length), 1 << 14), "doc_id long, start long, end long")
     spans = (
         partly.union(ranked.filter("known").select("doc_id", "start", "end"))
         .union(cut.filter("key IS NULL").select("doc_id", "start", F.col("many").alias("end")))
     )
+    if not hot.isEmpty():
+        spans = spans.union(_hot_spans(docs, runs.join(few, "key"), space, length))
     grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     found = space.write(grouped.mapInArrow(lean(_joiner), "doc_id long, spans array<struct<start:long,end:long>>"), "spans")
-    for name in ("runs", "ranked", "wanted"):
+    for name in ("runs", "ranked", "wanted", "hot", "hot-firsts", "hot-wanted", "hot-settled"):
         space.drop(name)
     return found
 
 
 def _with_list(docs: DataFrame, lists: DataFrame, column: str) -> DataFrame:
-    """Documents (doc_id, text) that have a list: joined by broadcast if ids and items are few.
+    """Documents (doc_id, text) that have a list: joined by broadcast if the lists are small.
 
-    If only the ids are few, they thin the documents out before the shuffle.
+    If only the ids are, they thin the documents out before the shuffle.
     """
-    size = lists.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum(F.size(column)), F.lit(0)).alias("items")).first()
-    if size["items"] <= BROADCAST_RUNS:
-        lists = F.broadcast(lists)
-    elif size["docs"] <= BROADCAST_DOCS:
-        docs = docs.join(F.broadcast(lists.select("doc_id")), "doc_id", "left_semi")
-    return docs.join(lists, "doc_id").select("doc_id", "text", column)
+    joined = bounded_broadcast(lists, BROADCAST_LISTS)
+    if joined is lists:
+        docs = docs.join(bounded_broadcast(lists.select("doc_id")), "doc_id", "left_semi")
+    return docs.join(joined, "doc_id").select("doc_id", "text", column)
 
 
 def _joiner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,11 +509,10 @@ def _whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[in
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    items = spans.limit(BROADCAST_DOCS + 1).agg(F.sum(F.size("spans"))).first()[0] or 0
-    spans = spans.withColumnRenamed("doc_id", "_span_id").withColumnRenamed("spans", "_spans")
-    if items <= BROADCAST_ITEMS:
-        spans = bounded_broadcast(spans)
-    return docs.join(spans, docs["doc_id"] == F.col("_span_id"), "left").drop("_span_id")
+    """docs with their spans as a last column."""
+    own = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    spans = bounded_broadcast(spans).withColumnsRenamed({"doc_id": own, "spans": f"{own}_"})
+    return docs.join(spans, docs["doc_id"] == F.col(own), "left").drop(own)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:

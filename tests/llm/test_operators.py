@@ -218,7 +218,8 @@ def plain_spans(texts, length):
 def test_suffix_dedup(docs, none, monkeypatch):
     texts = [(r.doc_id, (r.text or "").encode()) for r in docs.select("doc_id", "text").distinct().orderBy("doc_id").collect()]
     want = list(plain_spans(texts, 100))
-    for chunk, shard, block in ((suffix.CHUNK, suffix.SHARD, suffix.BLOCK), (3000, 200, 900)):
+    for chunk, shard, block, hot in ((suffix.CHUNK, suffix.SHARD, suffix.BLOCK, suffix.HOT), (3000, 200, 900, suffix.HOT), (3000, 200, 900, 2)):
+        monkeypatch.setattr(suffix, "HOT", hot)
         monkeypatch.setattr(suffix, "CHUNK", chunk)
         monkeypatch.setattr(suffix, "SHARD", shard)
         monkeypatch.setattr(suffix, "BLOCK", block)
