@@ -84,7 +84,7 @@ def asks_for_sources(question: Column) -> Column:
 
 
 def is_reference_path(heading: Column) -> Column:
-    return F.lower(F.coalesce(heading, F.lit(""))).rlike(r"references?|bibliography")
+    return F.lower(F.coalesce(heading, F.lit(""))).rlike(r"\b(references?|bibliography)\b")
 
 
 def html_escape(text: Column) -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.operators.running import latest, running
+
 #: The labels that records may have.
 LABELS = ("section_header", "text", "list", "table", "caption", "footnote", "formula")
 
@@ -59,11 +61,9 @@ def first_samples(records: DataFrame, keep: Column, n: int) -> DataFrame:
 
 def sections(records: DataFrame) -> DataFrame:
     """Section number and the record of the heading in force, carried forward within a book."""
-    order = W.partitionBy("book").orderBy("rec_no").rowsBetween(W.unboundedPreceding, 0)
     header = F.col("label") == "section_header"
-    return records.withColumn("section_no", F.sum(header.cast("int")).over(order)).withColumn(
-        "parent_rec", F.last(F.when(header, F.col("rec_no")), ignorenulls=True).over(order)
-    )
+    counted = running(records, "book", ["rec_no"], {"section_no": header.cast("int")})
+    return latest(counted, "book", "rec_no", {"parent_rec": F.when(header, F.col("rec_no"))})
 
 
 def explode_lists(records: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """DuckDB SQL of the views, to be put before the SQL of a query."""
 
 PAGES = "pages_v AS (SELECT source AS book, CAST(row_number() OVER (PARTITION BY source ORDER BY lang, doc_id) AS INT) AS page_no, doc_id, lang AS chapter, text FROM documents)"
-RECORDS = PAGES + """, records_v AS (SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY page_no, pos) AS INT) - 1 AS rec_no, doc_id, page_no, chapter, pos,
- CASE WHEN pos = 0 AND n_lines > 1 THEN 'section_header' ELSE 'text' END AS label,
- CASE WHEN pos = 0 AND n_lines > 1 THEN CAST(1 + doc_id % 3 AS INT) END AS level,
- CASE WHEN pos = 0 AND n_lines > 1 THEN substr(line, 1, 80) ELSE line END AS text
- FROM (SELECT p.*, CAST(u.pos - 1 AS INT) AS pos, u.line, len(string_split(p.text, chr(10))) AS n_lines FROM pages_v p, unnest(string_split(p.text, chr(10))) WITH ORDINALITY u(line, pos)) x)"""
+RECORDS = PAGES + """, line_v AS (SELECT book, CAST(row_number() OVER (PARTITION BY book ORDER BY page_no, pos) AS INT) - 1 AS rec_no, doc_id, page_no, chapter, pos, line, doc_id * 3 + pos AS i,
+ CASE WHEN pos = 0 AND n_lines > 1 THEN 'section_header' ELSE CASE (doc_id * 3 + pos) % 17 WHEN 5 THEN 'table' WHEN 6 THEN 'caption' WHEN 9 THEN 'list' WHEN 12 THEN 'footnote' WHEN 14 THEN 'formula' ELSE 'text' END END AS label
+ FROM (SELECT p.*, CAST(u.pos - 1 AS INT) AS pos, u.line, len(string_split(p.text, chr(10))) AS n_lines FROM pages_v p, unnest(string_split(p.text, chr(10))) WITH ORDINALITY u(line, pos)) x),
+ records_v AS (SELECT book, rec_no, book || '#' || rec_no AS id, doc_id, CAST(CASE WHEN i % 41 = 7 THEN NULL WHEN i % 53 = 8 THEN page_no - 3 ELSE page_no END AS INT) AS page_no, chapter, pos, label,
+ CASE WHEN label = 'section_header' THEN CAST(1 + doc_id % 3 AS INT) END AS level,
+ CASE WHEN label = 'table' AND i % 2 = 0 THEN '| ' || line || ' |' || chr(10) || '|---|' WHEN label = 'list' THEN replace(line, '. ', chr(10) || '- ') ELSE line END AS text FROM line_v)"""
 TOC = PAGES + """, toc_r AS (SELECT book, chapter, page_no, doc_id, dense_rank() OVER (PARTITION BY book ORDER BY chapter) c, row_number() OVER (PARTITION BY book, chapter ORDER BY page_no) d, substr(text, 1, 60) t FROM pages_v),
  toc_v AS (SELECT book, CAST(c AS VARCHAR) AS structure, 1 AS depth, chapter AS title, min(page_no) AS physical_index, 'yes' AS appear_start FROM toc_r GROUP BY book, c, chapter
  UNION ALL SELECT book, c || '.' || d, 2, t, page_no, CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END FROM toc_r)"""
@@ -41,3 +42,31 @@ SPANS = PAGES + """, spans_v AS (SELECT book, page_no, CAST(u.pos - 1 AS INT) AS
 def median(diffs: str) -> str:
     """SQL of the upper median of (book, diff) rows."""
     return f'SELECT book, diff AS "offset" FROM (SELECT book, diff, row_number() OVER (PARTITION BY book ORDER BY diff) - 1 AS r, count(*) OVER (PARTITION BY book) AS n FROM ({diffs}) d) x WHERE r = n // 2'
+
+
+def _tokens(n: str) -> str:
+    return f"(ceil(({n}) / 2.0) + 2)"
+
+
+#: Chunks by recursion over words and over pieces, where words fit the budget: chunk_v (book, ordinal, chunk_id, ...) and part_v (a row a piece of a chunk).
+CHUNKS = RECORDS + rf""", headed_v AS (SELECT *, coalesce(last_value(CASE WHEN label = 'section_header' THEN chapter || ' > ' || text END IGNORE NULLS) OVER w, '') AS heading, last_value(CASE WHEN label = 'section_header' THEN id END IGNORE NULLS) OVER w AS parent_id,
+  lag(struct_pack(p := page_no)) OVER (PARTITION BY book ORDER BY rec_no) AS before FROM records_v WINDOW w AS (PARTITION BY book ORDER BY rec_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ run_v AS (SELECT *, sum(CASE WHEN label = 'section_header' OR before IS NULL OR before.p IS DISTINCT FROM page_no THEN 1 ELSE 0 END) OVER (PARTITION BY book ORDER BY rec_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM headed_v),
+ room_v AS (SELECT *, 2 * (510 - {_tokens("strlen(allowed) + 1")}) AS room FROM (SELECT *, CASE WHEN 512 - {_tokens("strlen(heading) + 1")} >= 64 THEN heading ELSE right(heading, 100) END AS allowed FROM run_v WHERE label <> 'section_header') x),
+ unit_v AS (SELECT book, rec_no, room, u.unit, u.spot FROM room_v, unnest(string_split(replace(regexp_replace(text, '([.!?])\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(10) || chr(1)), chr(1))) WITH ORDINALITY u(unit, spot) WHERE u.unit <> ''),
+ word_v AS (SELECT book, rec_no, room, spot, 1 AS nth, unit AS part FROM unit_v WHERE strlen(unit) <= room UNION ALL SELECT book, rec_no, room, spot, w.nth, w.part FROM unit_v, unnest(regexp_extract_all(unit, '\S+\s*')) WITH ORDINALITY w(part, nth) WHERE strlen(unit) > room),
+ atom_v AS (SELECT book, rec_no, room, part, strlen(part) AS n, row_number() OVER (PARTITION BY book, rec_no ORDER BY spot, nth) AS k FROM word_v),
+ dealt_v AS (WITH RECURSIVE w AS (SELECT book, rec_no, k, n AS used, 0 AS g FROM atom_v WHERE k = 1 UNION ALL SELECT w.book, w.rec_no, a.k, CASE WHEN w.used + a.n > a.room THEN a.n ELSE w.used + a.n END, w.g + CASE WHEN w.used + a.n > a.room THEN 1 ELSE 0 END FROM w JOIN atom_v a ON a.book = w.book AND a.rec_no = w.rec_no AND a.k = w.k + 1) SELECT * FROM w),
+ text_v AS (SELECT book, rec_no, g, regexp_replace(string_agg(part, '' ORDER BY k), '^\s+|\s+$', '', 'g') AS piece FROM dealt_v JOIN atom_v USING (book, rec_no, k) GROUP BY book, rec_no, g),
+ piece_v AS (SELECT r.book, r.run, r.rec_no, r.id, r.label, r.page_no, r.chapter, r.parent_id, r.heading, r.allowed, r.text AS raw, coalesce(t.piece, '') AS piece, t.n IS NOT NULL AND t.n = 1 AS alone, r.label IN ('table', 'caption') AS apart,
+  row_number() OVER (PARTITION BY r.book, r.run ORDER BY r.rec_no, t.g) AS k FROM room_v r LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY book, rec_no) AS n FROM text_v WHERE piece <> '') t ON t.book = r.book AND t.rec_no = r.rec_no),
+ fold_v AS (WITH RECURSIVE f AS (SELECT book, run, k, 1 AS g, CASE WHEN piece = '' THEN 0 ELSE 1 END AS held, strlen(piece) AS used, heading AS first_heading, label AS first_label, alone AS first_alone, allowed AS last_allowed, apart FROM piece_v WHERE k = 1
+  UNION ALL SELECT book, run, k, CASE WHEN quiet OR joins THEN g ELSE g + 1 END, CASE WHEN quiet THEN held WHEN piece = '' THEN 0 WHEN joins THEN held + 1 ELSE 1 END, CASE WHEN quiet THEN used WHEN joins THEN used + 2 + CASE WHEN p_apart THEN strlen(raw) ELSE strlen(piece) END ELSE strlen(piece) END,
+   CASE WHEN quiet OR joins THEN first_heading ELSE heading END, CASE WHEN quiet OR joins THEN first_label ELSE label END, CASE WHEN quiet OR joins THEN first_alone ELSE alone END, CASE WHEN quiet THEN last_allowed ELSE allowed END, CASE WHEN quiet THEN apart ELSE p_apart END
+   FROM (SELECT f.book, f.run, p.k, f.g, f.held, f.used, f.first_heading, f.first_label, f.first_alone, f.last_allowed, f.apart, p.heading, p.label, p.alone, p.allowed, p.apart AS p_apart, p.piece, p.raw, p.piece = '' AND (f.held = 0 OR NOT (f.apart OR p.apart)) AS quiet,
+    p.piece <> '' AND f.held > 0 AND f.apart = p.apart AND CASE WHEN p.apart THEN f.first_alone AND p.alone AND f.first_label <> p.label AND f.held = 1 AND {_tokens("strlen(p.allowed) + 1 + f.used + 2 + strlen(p.raw)")} <= 512
+     ELSE {_tokens("strlen(f.last_allowed) + 1 + f.used")} < 400 AND f.first_heading = p.allowed AND {_tokens("strlen(p.allowed) + 1 + f.used + 2 + strlen(p.piece)")} <= 400 END AS joins
+    FROM f JOIN piece_v p ON p.book = f.book AND p.run = f.run AND p.k = f.k + 1) x) SELECT * FROM f),
+ part_v AS (SELECT p.*, f.g, CASE WHEN p.apart AND f.held > 1 THEN p.raw ELSE p.piece END AS part FROM piece_v p JOIN fold_v f USING (book, run, k) WHERE p.piece <> ''),
+ body_v AS (SELECT book, run, g, min(rec_no) AS rec_no, min(k) AS k, arg_min(label, k) AS label, arg_min(id, k) AS first_id, arg_min(chapter, k) AS chapter, arg_min(heading, k) AS heading, arg_min(parent_id, k) AS parent_id, string_agg(part, chr(10) || chr(10) ORDER BY k) AS text, min(page_no) AS page_start, max(page_no) AS page_end FROM part_v GROUP BY book, run, g),
+ chunk_v AS (SELECT *, substr(sha1('1|' || book || '|' || first_id || '|' || ordinal), 1, 20) AS chunk_id, CAST({_tokens("strlen(heading) + 1 + strlen(text)")} AS BIGINT) AS n_tokens, regexp_matches(lower(heading), '\b(references?|bibliography)\b') AS reference_path FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY run, k) AS ordinal FROM body_v) x)"""

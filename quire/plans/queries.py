@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import answers, audit, chunks, retrieval, trees
+from quire.operators.running import latest
 from quire.plans import oracles as O
 from quire.session import table
 from quire.sources import views as V
@@ -168,9 +169,13 @@ def personal_question_filter(s, d):
     return asked.select("conv_id", "turn", F.lower("text").rlike(r"(?U)\b(my|mine|me|i|our|we)\b").alias("personal"))
 
 
-@query(body=r"SELECT doc_id, regexp_matches(lower(text), 'references?|bibliography') AS is_reference FROM documents")
+#: Headings of a few kinds, made from an id.
+HEADING = """CASE doc_id % 7 WHEN 0 THEN 'Chapter ' || doc_id || ' > References' WHEN 1 THEN 'Patient preferences' WHEN 2 THEN 'SELECTED REFERENCE' WHEN 3 THEN 'Annotated bibliography, ' || lang WHEN 4 THEN 'Cross-referenced cases' ELSE 'Findings' END"""
+
+
+@query(body=rf"SELECT doc_id, regexp_matches(lower({HEADING}), '\b(references?|bibliography)\b') AS is_reference FROM documents")
 def reference_predicate(s, d):
-    return table(s, d, "documents").select("doc_id", X.is_reference_path(F.col("text")).alias("is_reference"))
+    return table(s, d, "documents").select("doc_id", X.is_reference_path(F.expr(HEADING)).alias("is_reference"))
 
 
 @query(body="""SELECT doc_id, CAST((length(text) - length(replace(text, chr(65533), ''))) AS BIGINT) AS bad_chars, CAST((length(text) - length(replace(lower(text), '|', ''))) AS BIGINT) AS bars FROM documents""")
@@ -214,13 +219,9 @@ def audit_ref_fraction(s, d):
     return audit.reference_fraction(V.records(s, d), F.col("doc_id") % 3 == 0)
 
 
-BACK = "r AS (SELECT book, rec_no, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 5 = 0 THEN page_no - 3 ELSE page_no END AS page_no FROM records_v)"
-
-
-@query(O.RECORDS, BACK, body="SELECT * FROM (SELECT book, rec_no, page_no, last_value(page_no IGNORE NULLS) OVER (PARTITION BY book ORDER BY rec_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM r) x WHERE page_no < previous")
+@query(O.RECORDS, body="SELECT * FROM (SELECT book, rec_no, page_no, last_value(page_no IGNORE NULLS) OVER (PARTITION BY book ORDER BY rec_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous FROM records_v) x WHERE page_no < previous")
 def page_backtracks(s, d):
-    page = F.when(F.col("doc_id") % 7 == 0, None).when(F.col("doc_id") % 5 == 0, F.col("page_no") - 3).otherwise(F.col("page_no"))
-    return audit.page_backtracks(V.records(s, d).withColumn("page_no", page))
+    return audit.page_backtracks(V.records(s, d))
 
 
 @query(O.RECORDS, body="SELECT book, rec_no, CAST(rank AS INTEGER) AS rank FROM (SELECT book, rec_no, row_number() OVER (PARTITION BY book ORDER BY rec_no) AS rank FROM records_v WHERE label <> 'section_header' AND length(text) > 2000) x WHERE rank <= 25")
@@ -395,28 +396,33 @@ def sections(s, d):
 
 
 def _chunks(s, d):
-    sectioned = audit.sections(V.records(s, d))
-    heading = F.first(F.when(F.col("label") == "section_header", F.col("text")), ignorenulls=True).over(W.partitionBy("book", "section_no").orderBy("rec_no").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
-    return chunks.pack(sectioned.withColumn("heading", heading))
+    header = F.when(F.col("label") == "section_header", F.concat("chapter", F.lit(" > "), "text"))
+    return chunks.pack(latest(V.records(s, d), "book", "rec_no", {"heading": header}))
 
 
-@query()
+@query(O.CHUNKS, body="SELECT book, ordinal, label, chapter, heading, parent_id, text, page_start, page_end, n_tokens, reference_path FROM chunk_v")
 def chunk_pack(s, d):
-    return _chunks(s, d).select("book", "section_no", "part_no", "label", "heading", "page", "text", "n_tokens")
+    return _chunks(s, d).select("book", "ordinal", "label", "chapter", "heading", "parent_id", "text", "page_start", "page_end", "n_tokens", "reference_path")
 
 
-@query()
+@query(O.CHUNKS, body="""SELECT c.chunk_id, p.id AS source_id, p.page_no AS page, CAST(p.until - length(p.part) - 2 * (nth - 1) + 2 * (nth - 1) AS INTEGER) AS start, CAST(p.until AS INTEGER) AS "end", p.part
+ FROM (SELECT *, row_number() OVER w AS nth, sum(length(part)) OVER w + 2 * (row_number() OVER w - 1) AS until FROM part_v WINDOW w AS (PARTITION BY book, run, g ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) p JOIN chunk_v c USING (book, run, g)""")
 def chunk_spans(s, d):
     each = _chunks(s, d).select("chunk_id", "text", F.explode("spans").alias("s"))
     return each.select("chunk_id", "s.source_id", "s.page", "s.start", F.col("s.end").alias("end"), F.expr("substr(text, s.start + 1, s.`end` - s.start)").alias("part"))
 
 
-@query()
+@query(O.CHUNKS, body="SELECT chunk_id, CAST('0x' || substr(chunk_id, 1, 15) AS BIGINT) AS point_id, book, ordinal FROM chunk_v")
 def chunk_ids(s, d):
     return _chunks(s, d).select("chunk_id", X.point_id(F.col("chunk_id")).alias("point_id"), "book", "ordinal")
 
 
-@query()
+GROUPED = """sized AS (SELECT book, page_no, CAST(ceil(strlen(text) / 2.0) + 2 AS BIGINT) AS n, sum(CAST(ceil(strlen(text) / 2.0) + 2 AS BIGINT)) OVER (PARTITION BY book) AS total FROM pages_v),
+ aimed AS (SELECT *, CASE WHEN total <= 2000 THEN total ELSE ceil((ceil(total / ceil(total / 2000.0)) + 2000) / 2.0) END AS target FROM sized),
+ walk AS (WITH RECURSIVE w AS (SELECT book, page_no, n AS used, 0 AS g FROM aimed WHERE page_no = 1 UNION ALL SELECT a.book, a.page_no, CASE WHEN w.used > 0 AND w.used + a.n > a.target THEN a.n ELSE w.used + a.n END, w.g + CASE WHEN w.used > 0 AND w.used + a.n > a.target THEN 1 ELSE 0 END FROM w JOIN aimed a ON a.book = w.book AND a.page_no = w.page_no + 1) SELECT * FROM w)"""
+
+
+@query(O.PAGES, GROUPED, body="SELECT book, page_no, g AS group_no FROM walk")
 def page_groups(s, d):
     return chunks.page_groups(V.pages(s, d).select("book", "page_no", X.token_estimate(F.col("text")).alias("n_tokens")))
 

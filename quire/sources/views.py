@@ -6,29 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quire.operators.running import numbered, running
 from quire.session import table
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
     """book, page_no, doc_id, chapter, text: a book is a source, a page one of its documents."""
-    order = W.partitionBy("source").orderBy("lang", "doc_id")
-    docs = table(spark, sf, "documents")
-    return docs.select(
-        F.col("source").alias("book"), F.row_number().over(order).cast("int").alias("page_no"), "doc_id", F.col("lang").alias("chapter"), "text"
-    )
+    docs = table(spark, sf, "documents").select(F.col("source").alias("book"), "doc_id", F.col("lang").alias("chapter"), "text")
+    return numbered(docs, "book", "chapter", "doc_id", "page_no").select("book", "page_no", "doc_id", "chapter", "text")
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
-    """A record for each line; the first line of a page of several is a header."""
+    """A record for each line; the first line of a page of several is a header. Some lines are tables, captions, lists and the like, and some pages are missing or too low."""
     cut = pages(spark, sf).withColumn("n_lines", F.size(F.split("text", "\n")))
-    each = cut.select("*", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    placed = running(cut, "book", ["page_no"], {"ahead": F.col("n_lines")})
+    each = placed.select("*", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     head = (F.col("pos") == 0) & (F.col("n_lines") > 1)
-    rec_no = (F.row_number().over(W.partitionBy("book").orderBy("page_no", "pos")) - 1).cast("int")
-    return each.select(
-        "book", rec_no.alias("rec_no"), "doc_id", "page_no", "chapter", "pos",
-        F.when(head, "section_header").otherwise("text").alias("label"),
-        F.when(head, (F.col("doc_id") % 3 + 1).cast("int")).alias("level"),
-        F.when(head, F.substring("line", 1, 80)).otherwise(F.col("line")).alias("text"),
+    i = F.col("doc_id") * 3 + F.col("pos")
+    other = F.lit("text")
+    for place, label in ((5, "table"), (6, "caption"), (9, "list"), (12, "footnote"), (14, "formula")):
+        other = F.when(i % 17 == place, label).otherwise(other)
+    rec_no = (F.col("ahead") - F.col("n_lines") + F.col("pos")).cast("int")
+    labelled = each.withColumn("label", F.when(head, "section_header").otherwise(other)).withColumn("rec_no", rec_no)
+    text = (
+        F.when((F.col("label") == "table") & (i % 2 == 0), F.concat(F.lit("| "), "line", F.lit(" |\n|---|")))
+        .when(F.col("label") == "list", F.replace("line", F.lit(". "), F.lit("\n- "))).otherwise(F.col("line"))
+    )
+    return labelled.select(
+        "book", "rec_no", F.concat("book", F.lit("#"), F.col("rec_no").cast("string")).alias("id"), "doc_id",
+        F.when(i % 41 == 7, None).when(i % 53 == 8, F.col("page_no") - 3).otherwise(F.col("page_no")).cast("int").alias("page_no"), "chapter", "pos",
+        "label", F.when(head, (F.col("doc_id") % 3 + 1).cast("int")).alias("level"), text.alias("text"),
     )
 
 

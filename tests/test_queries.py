@@ -1,11 +1,12 @@
 """Queries against their SQL in DuckDB, and what SQL cannot check on literal rows."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quire.functions import text as X
-from quire.operators import answers, audit, chunks, retrieval, trees
+from quire.operators import answers, audit, chunks, retrieval, running, trees
 from quire.plans.queries import SQL
 from quire.providers import Provider, ask, tolerant_json
 from tests.oracle import compare
@@ -28,37 +29,60 @@ def test_chunk_spans_slice_back(spark):
     got = entry.queries()["chunk_spans"](spark, FOLDER)
     assert got.filter("length(part) <> `end` - start OR part IS NULL").count() == 0
     packed = entry.queries()["chunk_pack"](spark, FOLDER)
-    assert packed.filter("n_tokens > 512").count() == 0
+    assert packed.filter("octet_length(heading) < 800 AND n_tokens > 512").count() == 0
 
 
-ROW = {"label": "text", "heading": "H", "page_no": 1}
+ROW = {"book": "b", "run": 1, "label": "text", "heading": "H", "page": 1, "page_end": 1, "chapter": "c", "parent_id": "b#0", "piece_no": 0, "allowed": "", "alone": False, "raw": ""}
 
 
 def pack(*rows):
-    return chunks.pack_section([ROW | {"rec_no": i} | r for i, r in enumerate(rows)])
+    """Chunks of records through the two streaming steps, batch by batch of two."""
+    full = [ROW | {"rec_no": i, "id": f"b#{i}"} | r for i, r in enumerate(rows)]
+    batches = (pa.RecordBatch.from_pylist(full[i : i + 2], schema=chunks._schema(chunks.PIECE)) for i in range(0, len(full), 2))
+    return [r for batch in chunks._fold(chunks._cut(batches)) for r in batch.to_pylist()]
 
 
 def test_packing_flushes_and_pairs():
     assert len(pack({"text": "a"}, {"text": "b"})) == 1
-    assert len(pack({"text": "a"}, {"text": "b", "page_no": 2})) == 2
+    assert len(pack({"text": "a"}, {"text": "b", "page": 2})) == 2
     assert len(pack({"text": "a"}, {"text": "b", "heading": "I"})) == 2
     assert len(pack({"text": "x" * 500}, {"text": "y" * 500})) == 2
-    pair = pack({"text": "caption", "label": "caption"}, {"text": "| t |", "label": "table"})
-    assert len(pair) == 1 and pair[0]["label"] == "caption" and len(pair[0]["parts"]) == 2
+    pair = pack({"text": "caption", "label": "caption"}, {"text": "| t | \n", "label": "table"})
+    assert len(pair) == 1 and pair[0]["label"] == "caption" and [s["source_id"] for s in pair[0]["spans"]] == ["b#0", "b#1"]
+    assert pair[0]["text"] == "caption\n\n| t | \n"  # what joins stands as it is
     assert len(pack({"text": "t", "label": "table"}, {"text": "u", "label": "table"})) == 2
+    assert len(pack({"text": "t", "label": "table"}, {"text": "u", "label": "caption", "page": 2})) == 2
+    assert len(pack({"text": "t", "label": "table"}, {"text": ""}, {"text": "u", "label": "caption"})) == 2
+    assert len(pack({"text": "a"}, {"text": ""}, {"text": "b"})) == 1
     assert len(pack({"text": "row\n" * 600, "label": "table"})) > 1
+    long = pack({"text": "a", "heading": "h" * 1000}, {"text": "b", "heading": "h" * 1000})
+    assert len(long) == 2 and long[0]["n_tokens"] > 500  # a heading that is cut for the budget never equals the full one
 
 
 def test_split_text_keeps_the_budget():
     assert chunks.split_text("A b. C d", 100) == ["A b.C d"]
+    assert chunks.split_text("four\nFive", 100) == ["four\nFive"] and chunks.split_text("five.\nSix", 100) == ["five.Six"]
     for text in ("word " * 400, "x" * 3000, "One. Two. " * 200, "é" * 900):
         parts = chunks.split_text(text, 100)
-        assert all(chunks.tokens(p) <= 100 for p in parts)
+        assert all(chunks.tokens(chunks.weight(p)) <= 100 for p in parts)
         assert "".join("".join(parts).split()) == "".join(text.split())
+    assert [len(p) for p in chunks.split_text("x" * 300 + " y", 100)] == [132, 132, 36, 1]  # two thirds of the budget twice over, the tail alone
 
 
-def test_list_lines_find_the_next_item():
-    assert chunks.match_lines(["a", "b", "z", "a"], [("a", 3), ("b", 4), ("a", 5)], 9) == [3, 4, 9, 5]
+def test_list_lines_find_the_next_item(spark):
+    lines = spark.createDataFrame([("b", 0, 0, "a", 9), ("b", 0, 1, "b", 9), ("b", 1, 0, "z", 9), ("b", 1, 1, "a", 9), ("c", 0, 0, "a", 7)], "book string, rec_no int, item_no int, line string, page_no int")
+    items = spark.createDataFrame([("b", 0, "a", 3), ("b", 1, "b", 4), ("b", 2, "a", 5)], "book string, pos int, text string, page int")
+    got = chunks.line_pages(lines, items).orderBy("book", "rec_no", "item_no").collect()
+    assert [r.page_no for r in got] == [3, 4, 9, 5, 7]
+
+
+def test_running_values_cross_blocks(spark):
+    rows = spark.range(50).selectExpr("'b' AS book", "CAST(id AS INT) AS n", "CASE WHEN id % 7 = 0 THEN id END AS v")
+    got = running.latest(running.running(rows, "book", ["n"], {"total": F.col("n")}, 8), "book", "n", {"w": F.col("v")}, 8)
+    got = running.previous(got, "book", "n", "before", F.col("n"), 8).collect()
+    assert {r.n: (r.total, r.w, r.before) for r in got} == {n: (n * (n + 1) // 2, n // 7 * 7, n - 1 if n else None) for n in range(50)}
+    numbers = running.numbered(rows.withColumn("g", F.col("n") % 2), "book", "g", "n", "at", 8).collect()
+    assert {r.n: r["at"] for r in numbers} == {n: n // 2 + 1 + 25 * (n % 2) for n in range(50)}
 
 
 def test_fusion_and_budget(spark):
