@@ -20,7 +20,9 @@ meet, and each meeting place is settled by merging transforms:
    Blocks that are still one after LENGTH symbols are the common prefixes of at least
    that length, and their members but the first are the repeats.
 4. A minimiser with more than HOT runs is settled in parts of about HOT runs, so that no
-   task holds all of them. Each part is merged as in 3; the strings that are first in
+   task holds all of them. Which ones to count shows in the batches of step 2: of T runs
+   in P batches about T * T / P meet another there, so none with many more than
+   4 * sqrt(P) is missed. Each part is merged as in 3; the strings that are first in
    their part leave it as 128-bit hashes, and of equal ones all but the first of all
    parts are repeats.
 5. Spans from 2 to 4 are merged for each document and cut out.
@@ -53,8 +55,8 @@ CHUNK, SHARD, BLOCK = 1 << 20, 1 << 16, 1 << 19
 STEP = 3
 #: Bytes of text that a worker cuts into runs at once.
 PART = 4 << 20
-#: Runs of one minimiser up to which they are settled by one task.
-HOT = 512
+#: Runs of one minimiser up to which they are settled by one task, and how many that meet another within their batch make it worth counting them all.
+HOT, OFTEN = 4096, 16
 #: Bytes of lists up to which they are broadcast with the documents' ids.
 BROADCAST_LISTS = 4 << 20
 U64 = np.uint64
@@ -191,14 +193,19 @@ def _cutter(length: int):
             again = same & ~twin
             d, s, e = _merged(doc[again], start[again], start[again] + many[again] + length - 1)
             one = ~same
+            kinds = key[one]
+            often = np.zeros(len(kinds), bool)
+            often[1:] = kinds[1:] == kinds[:-1]
+            often[:-1] |= kinds[1:] == kinds[:-1]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([doc[one], d]), pa.int64()), pa.array(np.concatenate([start[one], s]), pa.int64()),
                     pa.array(np.concatenate([many[one], e]), pa.int64()),
                     *(pa.concat_arrays([pa.array(c[one], pa.int64()), pa.nulls(len(d), pa.int64())]) for c in (key, mark)),
                     *(pa.concat_arrays([pa.array(c[one], pa.int32(), mask=c[one] < 0), pa.nulls(len(d), pa.int32())]) for c in (right, left)),
+                    pa.array(np.concatenate([often, np.zeros(len(d), bool)])),
                 ],
-                names=["doc_id", "start", "many", "key", "mark", "right", "left"],
+                names=["doc_id", "start", "many", "key", "mark", "right", "left", "often"],
             )
 
     return cut
@@ -416,9 +423,11 @@ def _hot_spans(docs: DataFrame, runs: DataFrame, space: Workspace, length: int)
 def repeated_spans(docs: DataFrame, space: Workspace, length: int = LENGTH) -> DataFrame:
     """(doc_id, spans) of every document with repeats."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    cut = space.write(docs.mapInArrow(lean(_cutter(length), 1 << 14), "doc_id long, start long, many long, key long, mark long, right int, left int"), "runs")
-    runs = cut.filter("key IS NOT NULL")
-    hot = space.write(runs.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("parts")), "hot")
+    cut = space.write(docs.mapInArrow(lean(_cutter(length), 1 << 14), "doc_id long, start long, many long, key long, mark long, right int, left int, often boolean"), "runs")
+    runs = cut.filter("key IS NOT NULL").drop("often")
+    often = space.write(cut.filter("often").groupBy("key").count().filter(F.col("count") >= OFTEN).select("key"), "often")
+    counted = runs.select("key").join(bounded_broadcast(often), "key").groupBy("key").count()
+    hot = space.write(counted.filter(F.col("count") > HOT).select("key", F.ceil(F.col("count") / HOT).cast("int").alias("parts")), "hot")
     few = bounded_broadcast(hot)
     by_text, by_key = W.partitionBy("key", "mark").orderBy("doc_id", "start"), W.partitionBy("key")
     ranked = (
@@ -441,7 +450,7 @@ def repeated_spans(docs: DataFrame, space: Workspace, length: int = LENGTH) -> D
         spans = spans.union(_hot_spans(docs, runs.join(few, "key"), space, length))
     grouped = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     found = space.write(grouped.mapInArrow(lean(_joiner), "doc_id long, spans array<struct<start:long,end:long>>"), "spans")
-    for name in ("runs", "ranked", "wanted", "hot", "hot-firsts", "hot-wanted", "hot-settled"):
+    for name in ("runs", "ranked", "wanted", "often", "hot", "hot-firsts", "hot-wanted", "hot-settled"):
         space.drop(name)
     return found
 

@@ -220,6 +220,7 @@ def test_suffix_dedup(docs, none, monkeypatch):
     want = list(plain_spans(texts, 100))
     for chunk, shard, block, hot in ((suffix.CHUNK, suffix.SHARD, suffix.BLOCK, suffix.HOT), (3000, 200, 900, suffix.HOT), (3000, 200, 900, 2)):
         monkeypatch.setattr(suffix, "HOT", hot)
+        monkeypatch.setattr(suffix, "OFTEN", 1 if hot == 2 else suffix.OFTEN)
         monkeypatch.setattr(suffix, "CHUNK", chunk)
         monkeypatch.setattr(suffix, "SHARD", shard)
         monkeypatch.setattr(suffix, "BLOCK", block)
