@@ -14,12 +14,13 @@ A document is the set of its word shingles, as 64-bit hashes. The join runs in s
    traversal prunes pairs of nodes whose size ranges or whose largest possible overlap
    rule out a link, and pairs whose documents are all connected already; at the leaves
    sets are intersected.
-4. A block of more than BLOCK classes is dealt out: parts are joined alone, then their
-   components' representatives. In a block that is not connected by then, classes meet
-   again by each band they share, as far as the band's classes are not yet connected;
-   bands with the same classes count once, and those of more than BLOCK classes are
-   dealt out as pairs of parts. So no task holds more than two parts, and a text is
-   shuffled as often as it shares an open band, not once a part of its block.
+4. A block of more than BLOCK classes is dealt out: parts are joined, each together with
+   the PIVOTS classes of the block that share bands with most others (originals, as a
+   rule), then the representatives of what came out. In a block that is not connected by then, the parts of
+   its largest component meet all others, if those make one part; else classes meet by
+   each band they share, as far as the band's classes are not yet connected: bands with
+   the same classes count once, and those of more than BLOCK classes are dealt out as
+   pairs of parts. So no task holds more than two parts.
 
 Defined cases: a document with fewer words than a shingle is one shingle of all its
 words; without words or text it has no shingle and is a component of its own; rows that
@@ -37,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Workspace, bounded_broadcast, lean, read
@@ -44,7 +46,8 @@ from .graph import components
 
 ROWS = 3
 MISS = 1e-13
-BLOCK, BLOCK_SHINGLES = 512, 2_000_000
+BLOCK, BLOCK_SHINGLES = 1024, 4_000_000
+PIVOTS = 16
 FANOUT = 8
 U64 = np.uint64
 _P, _C = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
@@ -271,9 +274,9 @@ def ngram_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
         light.filter(linked).groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")), "classes"
     )
     bands = classes.select("rep", F.explode("keys").alias("key"))
-    shared = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("many")).filter("many > 1").drop("many")
-    met = bands.join(shared, "key").select(F.col("rep").alias("a"), F.col("lead").alias("b"))
-    blocks = components(met, space, "blocks").select(F.col("node").alias("rep"), F.col("label").alias("block"))
+    shared = bands.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    met = space.write(bands.join(shared, "key").select(F.col("rep").alias("a"), F.col("lead").alias("b"), "many", "key"), "met")
+    blocks = components(met.select("a", "b"), space, "blocks").select(F.col("node").alias("rep"), F.col("label").alias("block"))
     members = space.write(classes.select("rep", "digest", "n").join(blocks, "rep"), "members")
     sizes = members.groupBy("block").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts")
@@ -282,9 +285,14 @@ def ngram_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     part = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int")
     members = space.write(members.join(bounded_broadcast(big), "block", "left").withColumn("part", part), "parted")
     first = members.select("rep", "digest", F.concat_ws("/", "block", "part").alias("task"), F.col("rep").alias("known"))
+    if not big.isEmpty():  # the classes that meet most others go to all parts of their block
+        central = met.groupBy(F.col("a").alias("rep")).agg(F.sum("many").alias("meets")).join(members.filter("parts > 1"), "rep")
+        place = F.row_number().over(W.partitionBy("block").orderBy(F.desc("meets"), "rep"))
+        pivots = central.withColumn("place", place).filter(f"place <= {PIVOTS}").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        first = first.union(pivots.filter("other <> part").select("rep", "digest", F.concat_ws("/", "block", "other"), "rep"))
     links = space.write(_links(docs, first, k, percent), "links")
     if not big.isEmpty():
-        links = _across(docs, classes, members.filter("parts IS NOT NULL"), links, space, k, percent)
+        links = _across(docs, met, members.filter("parts IS NOT NULL"), links, space, k, percent)
     else:
         links = links.select(F.col("a").alias("node"), F.col("b").alias("label"))
     found = classes.select("digest", "rep").join(links, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
@@ -292,18 +300,26 @@ def ngram_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return with_set.union(light.filter(~linked).select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
-def _across(docs, classes, members, links, space, k, percent) -> DataFrame:
-    """Links between the parts of big blocks: representatives first, then band by band what is not yet connected."""
-    leads = links.filter("a = b").select(F.col("a").alias("rep"))
-    heads = members.join(leads, "rep").select("rep", "digest", F.concat_ws("/", "block", F.lit("heads")).alias("task"), F.col("rep").alias("known"))
-    few = members.join(leads, "rep").groupBy("block").count().filter(f"count <= {BLOCK}").select("block")
-    heads = heads.join(members.join(bounded_broadcast(few), "block", "left_semi").select("rep"), "rep", "left_semi")
-    links = space.write(links.union(_links(docs, heads, k, percent)), "links-heads")
-    labels = components(links, space, "heads").select(F.col("node").alias("rep"), "label")
-    known = space.write(members.join(labels, "rep", "left").withColumn("known", F.coalesce("label", "rep")), "known")
+def _across(docs, met, members, links, space, k, percent) -> DataFrame:
+    """Links between the parts of big blocks: components' representatives first, then what is not yet connected."""
+    labels = lambda name: components(links, space, name).select(F.col("node").alias("rep"), "label")
+    known = space.write(members.join(labels("parts"), "rep", "left").withColumn("known", F.coalesce("label", "rep")).drop("label"), "known-parts")
+    leads = known.filter("rep = known").select("block", "rep", "digest")
+    few = leads.groupBy("block").count().filter(f"count BETWEEN 2 AND {BLOCK}").select("block")
+    heads = leads.join(bounded_broadcast(few), "block", "left_semi").select("rep", "digest", F.concat_ws("/", "block", F.lit("heads")).alias("task"), F.col("rep").alias("known"))
+    links = space.write(links.union(_links(docs, space.write(heads, "heads"), k, percent)), "links-heads")
+    known = space.write(members.join(labels("joined"), "rep", "left").withColumn("known", F.coalesce("label", "rep")).drop("label"), "known")
     open_blocks = known.groupBy("block").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).filter("lo <> hi").select("block")
-    live = known.join(bounded_broadcast(open_blocks), "block", "left_semi").select("rep", "digest", "known")
-    keyed = space.write(classes.select("rep", F.explode("keys").alias("key")).join(live, "rep"), "keyed")
+    live = known.join(bounded_broadcast(open_blocks), "block", "left_semi").select("block", "rep", "digest", "known")
+    labels = live.groupBy("block", "known").agg(F.count(F.lit(1)).alias("many"))
+    plan = labels.groupBy("block").agg(F.max_by("known", F.struct("many", "known")).alias("main"), F.max("many").alias("own"), F.sum("many").alias("all"))
+    plan = space.write(plan.select("block", "main", F.ceil(F.col("own") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("own")) / BLOCK).cast("int").alias("others")), "plan")
+    live = space.write(live.join(bounded_broadcast(plan), "block"), "live")
+    # one component and few others: parts of the component are tied already, so each meets the others alone
+    spot = F.when(F.col("known") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    main = live.filter("others = 1").withColumn("spot", F.explode(spot)).select("rep", "digest", F.concat_ws("/", "block", "spot").alias("task"), "known")
+    wide = live.filter("others > 1").select("rep", "digest", "known")
+    keyed = space.write(met.select(F.col("a").alias("rep"), "key").join(bounded_broadcast(wide), "rep"), "keyed")
     groups = (
         keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min("known").alias("lo"), F.max("known").alias("hi"), F.expr("bit_xor(xxhash64(rep))").alias("who"))
         .filter("lo <> hi").groupBy("many", "lo", "hi", "who").agg(F.min("key").alias("key"))
@@ -315,7 +331,7 @@ def _across(docs, classes, members, links, space, k, percent) -> DataFrame:
         dealt.filter("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("other <> part")
         .select("rep", "digest", F.concat_ws("/", "key", F.least("part", "other"), F.greatest("part", "other")).alias("task"), "known")
     )
-    links = space.write(links.union(_links(docs, space.write(one.union(many), "across"), k, percent)), "links-all")
+    links = space.write(links.union(_links(docs, space.write(main.union(one).union(many), "across"), k, percent)), "links-all")
     return components(links, space, "all")
 
 
