@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import answers, audit, chunks, retrieval, trees
-from quire.operators.running import latest
 from quire.plans import oracles as O
 from quire.session import table
 from quire.sources import views as V
@@ -396,8 +395,7 @@ def sections(s, d):
 
 
 def _chunks(s, d):
-    header = F.when(F.col("label") == "section_header", F.concat("chapter", F.lit(" > "), "text"))
-    return chunks.pack(latest(V.records(s, d), "book", "rec_no", {"heading": header}))
+    return chunks.pack(V.records(s, d), F.concat("chapter", F.lit(" > "), "text"))
 
 
 @query(O.CHUNKS, body="SELECT book, ordinal, label, chapter, heading, parent_id, text, page_start, page_end, n_tokens, reference_path FROM chunk_v")

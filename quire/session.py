@@ -11,6 +11,9 @@ TABLES = (
     "embeddings pages benchmark labels conversations"
 ).split()
 
+#: Tables whose rows are long enough for spreading to pay.
+WIDE = ("documents", "pages")
+
 
 def build_session(app: str = "quire", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with the settings the engine expects; a running one is reused."""
@@ -32,5 +35,11 @@ def build_session(app: str = "quire", master: str | None = None, partitions: int
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table of a data folder, spread over the cores if it arrives in fewer pieces than there are.
+
+    Pieces are of a bounded size, so what is moved for that is at most one piece a core; a
+    large table has more pieces than cores and stays where it is.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in WIDE and df.rdd.getNumPartitions() < cores else df

@@ -32,7 +32,7 @@ def test_chunk_spans_slice_back(spark):
     assert packed.filter("octet_length(heading) < 800 AND n_tokens > 512").count() == 0
 
 
-ROW = {"book": "b", "run": 1, "label": "text", "heading": "H", "page": 1, "page_end": 1, "chapter": "c", "parent_id": "b#0", "piece_no": 0, "allowed": "", "alone": False, "raw": ""}
+ROW = {"book": "b", "section": 0, "label": "text", "heading": "H", "page": 1, "page_end": 1, "chapter": "c", "parent_id": "b#0", "piece_no": 0, "allowed": "", "alone": False, "raw": ""}
 
 
 def pack(*rows):
