@@ -5,7 +5,7 @@ from __future__ import annotations
 import argparse
 import json
 
-from quire.engine import Corpus
+from quire.engine import Corpus, hashed_encoder, read_settings
 from quire.providers import Provider
 from quire.service import serve
 from quire.session import build_session
@@ -20,6 +20,9 @@ def parser() -> argparse.ArgumentParser:
     one = sub.add_parser("ingest", help="take in record files, replacing their books")
     one.add_argument("records")
     one.add_argument("--book", action="append")
+    one.add_argument("--no-dense", action="store_true", help="postings alone, no vectors")
+    one.add_argument("--force", action="store_true", help="also what has not changed")
+    one.add_argument("--raw", help="folder of layout files, for the pages of list items")
     one = sub.add_parser("retrieve", help="chunks for a question")
     one.add_argument("question")
     one.add_argument("--book")
@@ -28,6 +31,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--audience", choices=("clinician", "patient"), default="clinician")
     one = sub.add_parser("eval", help="hit rates of a file of cases")
     one.add_argument("cases")
+    one.add_argument("--generate", action="store_true", help="answer the questions too, and check citations and refusals")
     one = sub.add_parser("serve", help="HTTP service on this machine")
     one.add_argument("--host", default="127.0.0.1")
     one.add_argument("--port", type=int, default=8000)
@@ -37,16 +41,17 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     a = parser().parse_args(argv)
-    corpus = Corpus(build_session("quire"), a.corpus)
+    read_settings()
+    corpus = Corpus(build_session("quire"), a.corpus, {"encoder": "hashed-256", "encode": hashed_encoder()})
     if a.command == "serve":
         serve(corpus, Provider(), a.host, a.port)
         return
     found = {
         "audit": lambda: [json.loads(x) for x in corpus.audit(a.records)],
-        "ingest": lambda: {"books": corpus.ingest(a.records, a.book)},
+        "ingest": lambda: {"books": corpus.ingest(a.records, a.book, not a.no_dense, a.force, a.raw)},
         "retrieve": lambda: corpus.retrieve(a.question, a.book),
         "ask": lambda: corpus.ask(a.question, a.audience, Provider()),
-        "eval": lambda: corpus.evaluate(a.cases),
+        "eval": lambda: corpus.evaluate(a.cases, Provider() if a.generate else None),
         "health": corpus.health,
     }[a.command]()
     print(json.dumps(found, indent=2, ensure_ascii=False, default=str))

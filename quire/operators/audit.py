@@ -67,12 +67,12 @@ def sections(records: DataFrame) -> DataFrame:
 
 
 def explode_lists(records: DataFrame) -> DataFrame:
-    """Merged lists as one record an item, without bullets; other records as they are."""
+    """Merged lists as one record an item (item_no from 0, merged true), without bullets of their own; other records as they are."""
     merged = (F.col("label") == "list") & F.col("text").contains("\n")
     parts = F.when(merged, F.filter(F.split("text", "\n"), lambda x: F.btrim(x) != "")).otherwise(F.array("text"))
-    each = records.select("*", F.posexplode(parts).alias("item_no", "item"))
+    each = records.select("*", merged.alias("merged"), F.posexplode(parts).alias("item_no", "item"))
     bare = F.btrim(F.regexp_replace("item", "^- ", ""))
-    return each.withColumn("text", F.when(merged, F.concat(F.lit("- "), bare)).otherwise(F.col("item"))).drop("item")
+    return each.withColumn("text", F.when(F.col("merged"), F.concat(F.lit("- "), bare)).otherwise(F.col("item"))).drop("item")
 
 
 def minimum_page(records: DataFrame, limits: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quire.engine import Corpus
+from quire.engine import Corpus, hashed_encoder
 from quire.functions import text as X
 from quire.operators import contents, layout, repair
 from quire.providers import Provider
@@ -99,23 +99,49 @@ def test_names(spark):
 
 def test_corpus(spark, tmp_path):
     rows = [("b#0", "Bones", "section_header", 1, 1), ("b#1", "The hand has twenty seven bones in all.", "text", None, 2), ("b#2", "References", "section_header", 1, 3), ("b#3", "Smith on hand bones, a study.", "text", None, 3)]
-    (tmp_path / "b.jsonl").write_text("\n".join(json.dumps({"id": i, "book": "b", "label": k, "text": t, "level": v, "page_no": p}) for i, t, k, v, p in rows))
+    (tmp_path / "b.jsonl").write_text("\n".join(json.dumps({"id": i, "book": "b", "label": k, "text": t, "level": v, "page_no": p, "heading_path_str": "References" if int(i[2:]) > 1 else "Bones"}) for i, t, k, v, p in rows))
     corpus = Corpus(spark, str(tmp_path / "out"))
     asked = lambda q: respond(corpus, Provider(), "POST", "/api/ask", json.dumps(q).encode())
     assert corpus.health()["status"] == "index_missing" and asked({"question": "hand?"})[0] == 503
-    assert corpus.ingest(str(tmp_path / "b.jsonl"), ["B"]) == 1 and corpus.ingest(str(tmp_path / "b.jsonl")) == 1
+    assert corpus.ingest(str(tmp_path / "b.jsonl"), ["B"]) == 1 and corpus.ingest(str(tmp_path / "b.jsonl")) == 0
+    assert corpus.ingest(str(tmp_path / "b.jsonl"), force=True) == 1
     with pytest.raises(ValueError):
         corpus.ingest(str(tmp_path / "b.jsonl"), ["missing"])
     assert corpus.health() == {"status": "ready", "books": 1, "chunks": 2}
     hits = corpus.retrieve("hand bones")
     assert [h["heading"] for h in hits] == ["Bones", "References"] and corpus.retrieve("hand bones", "other") == []
-    assert asked({"question": "How many bones has the hand?"})[1]["status"] == "answered"
+    said = asked({"question": "How many bones has the hand?"})[1]
+    assert said["status"] == "answered" and said["text"].endswith("[E1]") and said["citations"][0]["book"] == "b"
+    traces = spark.read.parquet(str(tmp_path / "out/traces")).collect()
+    assert [(r.trace_id, r.question, r.status) for r in traces] == [(said["trace_id"], "", "answered")]
     assert asked({"question": " "})[0] == 422 and asked([1])[0] == 422
     assert asked({"question": "Is my hand well?", "audience": "patient"})[1]["status"] == "personal_question"
     assert respond(corpus, None, "GET", f"/source/{hits[0]['chunk_id']}")[1]["book"] == "b"
     assert respond(corpus, None, "GET", "/source/none")[0] == 404 and respond(corpus, None, "GET", "/x")[0] == 404
-    (tmp_path / "cases.json").write_text(json.dumps([{"id": "1", "question": "hand bones", "anchors": [{"book": "b", "pdf_page": 2}]}, {"id": "2", "question": "hand", "anchors": [{"book": "b", "pdf_page": 9}]}]))
-    assert corpus.evaluate(str(tmp_path / "cases.json")) == {"hit5": 0.5, "hit10": 0.5, "mrr": 0.5, "n_cases": 2}
+    (tmp_path / "cases.json").write_text(json.dumps([{"id": "1", "question": "hand bones", "anchors": [{"book": "b", "pdf_page": 2}]}, {"id": "2", "question": "hand", "anchors": [{"book": "b", "pdf_page": 9}, {"source_id": "b#1"}]}, {"id": "3", "question": "a study", "source_id": "b#3"}, {"id": "4", "question": "Is my hand well?", "audience": "patient", "refusal": True}]))
+    assert corpus.evaluate(str(tmp_path / "cases.json")) == {"hit5": 0.666667, "hit10": 0.666667, "mrr": 0.666667, "n_cases": 3}
+    with_answers = corpus.evaluate(str(tmp_path / "cases.json"), Provider())
+    assert with_answers["citation_validity"] == 1.0 and with_answers["refusals"] == "1/1"
+    assert "| 4 | - | personal_question |" in (tmp_path / "out/reports/evaluation.md").read_text()
+    dense = Corpus(spark, str(tmp_path / "out"), {"encoder": "hashed-64", "encode": hashed_encoder(64)})
+    assert not dense.dense_ready() and dense.health()["status"] == "index_outdated"
+    assert dense.ingest(str(tmp_path / "b.jsonl")) == 1 and dense.dense_ready()
+    assert [h["heading"] for h in dense.retrieve("hand bones")] == ["Bones", "References"]
+    assert [h["heading"] for h in Corpus(spark, str(tmp_path / "out"), {"rerank": lambda q, t: F.when(t.contains("Smith"), 1.0).otherwise(0.95)}).retrieve("hand bones")] == ["Bones", "References"]
     assert json.loads(corpus.audit(str(tmp_path / "b.jsonl"))[0])["labels"] == {"section_header": 2, "text": 2}
     with pytest.raises(ValueError):
         serve(corpus, host="0.0.0.0")
+
+
+def test_ingest_gives_list_items_ids_and_pages(spark, tmp_path):
+    record = {"book": "b", "heading_path_str": "H", "page_no": 3}
+    rows = [record | {"id": "b#0", "label": "list", "text": "- one\n- two\n- odd"}, record | {"id": "b#3", "label": "text", "text": "after", "page_no": None}, record | {"id": "b#4", "label": "text", "text": "front", "page_no": 2}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/b.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    (tmp_path / "raw").mkdir()
+    items = [{"label": "list_item", "text": t, "prov": [{"page_no": p}]} for t, p in (("one", 3), ("two", 4))]
+    (tmp_path / "raw/b.json").write_text(json.dumps({"texts": [{"label": "text", "text": "one"}, *items]}))
+    corpus = Corpus(spark, str(tmp_path / "out"))
+    corpus.ingest(str(tmp_path / "in"), raw=str(tmp_path / "raw"), min_page={"b": 3})
+    got = [(r.source_ids, r.page_start, r.page_end) for r in corpus.chunks().orderBy("ordinal").collect()]
+    assert got == [(["b#0"], 3, 3), (["b#1"], 4, 4), (["b#2"], 3, 3)]  # the page-less and the front record are before page 3
