@@ -84,15 +84,15 @@ def minimum_page(records: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def provenance(items: DataFrame) -> DataFrame:
-    """Pages on which layout items count; start, end and the batch's shift if its pages are relative.
+    """Items with the pages on which they count, their batch's shift, and whether they count nowhere (unmapped).
 
-    items: batch, item, kind, size, pages (array), start, end. An item without a page, or with
-    one outside the range, counts nowhere; one on several pages counts whole on each.
+    items: batch, pages (array), start, end, and what else they have. A batch's pages are
+    relative if they start at 1 and stay within its length although it starts later; then
+    they are shifted. An item without a page, or with one outside the range, is unmapped.
     """
-    batch = W.partitionBy("batch")
-    lo, hi = F.min(F.array_min("pages")).over(batch), F.max(F.array_max("pages")).over(batch)
-    relative = (F.col("start") > 1) & (lo == 1) & (hi <= F.col("end") - F.col("start") + 1)
-    shifted = items.withColumn("shift", F.when(relative, F.col("start") - 1).otherwise(0))
+    seen = items.groupBy("batch").agg(F.min(F.array_min("pages")).alias("_lo"), F.max(F.array_max("pages")).alias("_hi"))
+    relative = (F.col("start") > 1) & (F.col("_lo") == 1) & (F.col("_hi") <= F.col("end") - F.col("start") + 1)
+    shifted = items.join(seen, "batch").withColumn("shift", F.when(relative, F.col("start") - 1).otherwise(0)).drop("_lo", "_hi")
     moved = shifted.withColumn("pages", F.transform("pages", lambda p: p + F.col("shift")))
     outside = (F.size("pages") <= 0) | F.exists("pages", lambda p: ~p.between(F.col("start"), F.col("end")))
     return moved.withColumn("unmapped", F.coalesce(outside, F.lit(True)))
@@ -106,16 +106,3 @@ def page_counts(items: DataFrame) -> DataFrame:
     kinds = [F.count_if(F.col("kind") == k).alias(k) for k in ("texts", "tables", "pictures")]
     counts = spread.groupBy("batch", "page").agg(F.sum("size").alias("text_chars"), *kinds)
     return pages.join(counts, ["batch", "page"], "left").na.fill(0)
-
-
-def flags(quality: DataFrame, least: int = 300, fraction: float = 0.45) -> DataFrame:
-    """(.., reasons): why a page needs review, in a fixed order."""
-    low = (F.col("source_text_chars") >= least) & (F.col("text_chars") < F.col("source_text_chars") * fraction)
-    image = (F.col("source_text_chars") < 30) & (F.col("text_chars") < 30) & (F.col("pictures") > 0)
-    empty = (F.col("text_chars") == 0) & (F.col("tables") == 0) & (F.col("pictures") == 0)
-    rules = [("table_manual_review_required", F.col("tables") > 0), ("low_text_retention", low), ("image_text_review", image), ("no_mapped_elements", empty)]
-    return quality.withColumn("reasons", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules])))
-
-
-def review_queue(flagged: DataFrame) -> DataFrame:
-    return flagged.filter(F.size("reasons") > 0).select("book", "page_no", F.concat_ws(";", "reasons").alias("reasons"))

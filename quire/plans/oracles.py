@@ -12,7 +12,6 @@ TOC = PAGES + """, toc_r AS (SELECT book, chapter, page_no, doc_id, dense_rank()
  UNION ALL SELECT book, c || '.' || d, 2, t, page_no, CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END FROM toc_r)"""
 ORDERED = TOC + """, toc_o AS (SELECT *, CAST(row_number() OVER (PARTITION BY book ORDER BY physical_index, depth, structure) AS INT) AS ord FROM toc_v)"""
 CLAIMS = "claims_v AS (SELECT doc_id AS claim_id, doc_id AS evidence_id, CASE WHEN doc_id % 5 = 0 THEN reverse(substr(text, 1, 40)) ELSE substr(text, CAST(1 + doc_id % 17 AS INT), 40) END AS quote FROM documents)"
-QUALITY = PAGES + ", quality_v AS (SELECT book, page_no, CAST(length(text) AS INT) AS text_chars, CAST(length(text) * (1 + doc_id % 4) AS INT) AS source_text_chars, CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS tables, CASE WHEN doc_id % 11 = 0 THEN 1 ELSE 0 END AS pictures FROM pages_v)"
 HTML = """blocks_v AS (SELECT page_id, CAST(u.pos - 1 AS INT) AS pos, t.tags[u.pos] AS tag, u.block AS text FROM (SELECT page_id, regexp_extract_all(html, '<(h1|p|li)>(?:<[a-z][^>]*>)*([^<]*)', 1) AS tags, regexp_extract_all(html, '<(h1|p|li)>(?:<[a-z][^>]*>)*([^<]*)', 2) AS blocks FROM pages) t, unnest(t.blocks) WITH ORDINALITY u(block, pos))"""
 BM25 = r"""d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}') AS t FROM documents),
  sizes AS (SELECT count(*) AS n, avg(CAST(len(t) AS DOUBLE)) AS avgdl FROM d),
@@ -70,3 +69,22 @@ CHUNKS = RECORDS + rf""", headed_v AS (SELECT *, coalesce(last_value(CASE WHEN l
  part_v AS (SELECT p.*, f.g, CASE WHEN p.apart AND f.held > 1 THEN p.raw ELSE p.piece END AS part FROM piece_v p JOIN fold_v f USING (book, run, k) WHERE p.piece <> ''),
  body_v AS (SELECT book, run, g, min(rec_no) AS rec_no, min(k) AS k, arg_min(label, k) AS label, arg_min(id, k) AS first_id, arg_min(chapter, k) AS chapter, arg_min(heading, k) AS heading, arg_min(parent_id, k) AS parent_id, string_agg(part, chr(10) || chr(10) ORDER BY k) AS text, min(page_no) AS page_start, max(page_no) AS page_end FROM part_v GROUP BY book, run, g),
  chunk_v AS (SELECT *, substr(sha1('1|' || book || '|' || first_id || '|' || ordinal), 1, 20) AS chunk_id, CAST({_tokens("strlen(heading) + 1 + strlen(text)")} AS BIGINT) AS n_tokens, regexp_matches(lower(heading), '\b(references?|bibliography)\b') AS reference_path FROM (SELECT *, row_number() OVER (PARTITION BY book ORDER BY run, k) AS ordinal FROM body_v) x)"""
+
+
+LAYOUT = PAGES + """, item_v AS (SELECT book AS batch, page_no, i, CASE WHEN i % 13 = 4 THEN 'tables' WHEN i % 13 = 7 THEN 'pictures' ELSE 'texts' END AS kind, CASE WHEN i % 19 = 3 THEN 'formula' ELSE 'text' END AS label, line,
+  CASE WHEN i % 29 = 6 THEN []::INTEGER[] WHEN i % 31 = 8 THEN [page_no, page_no + 1] ELSE [page_no] END AS pages FROM (SELECT p.book, p.page_no, p.doc_id * 3 + u.pos - 1 AS i, u.line FROM pages_v p, unnest(string_split(p.text, chr(10))) WITH ORDINALITY u(line, pos)) x),
+ content_v AS (SELECT *, CASE kind WHEN 'tables' THEN substr(line, 1, 40) WHEN 'pictures' THEN '' ELSE CASE WHEN i % 19 = 3 AND i % 2 = 0 THEN '' WHEN i % 23 = 5 THEN line || chr(65533) || ' GLYPH<1>' ELSE line END END AS content FROM item_v),
+ batch_v AS (SELECT book AS batch, CASE WHEN right(book, 1) = '1' THEN 41 ELSE 1 END AS first, max(page_no) AS n FROM pages_v GROUP BY book),
+ seen_v AS (SELECT b.batch, first, n, CASE WHEN first > 1 AND lo = 1 AND hi <= n THEN first - 1 ELSE 0 END AS shift FROM batch_v b JOIN (SELECT batch, min(p) AS lo, max(p) AS hi FROM (SELECT batch, unnest(pages) AS p FROM item_v) x GROUP BY batch) s USING (batch)),
+ placed_v AS (SELECT c.*, first, n, shift, list_transform(c.pages, lambda p: p + shift) AS moved, len(c.pages) = 0 OR len(list_filter(c.pages, lambda p: p + shift < first OR p + shift >= first + n)) > 0 AS unmapped FROM content_v c JOIN seen_v USING (batch)),
+ spread_v AS (SELECT batch, kind, label, content, unnest(list_distinct(moved)) AS page FROM placed_v WHERE NOT unmapped),
+ grid_v AS (SELECT batch, unnest(range(first, first + n)) AS page FROM batch_v),
+ counts_v AS (SELECT g.batch, g.page, CAST(coalesce(sum(length(content)), 0) AS BIGINT) AS text_chars, count(*) FILTER (kind = 'texts') AS texts, count(*) FILTER (kind = 'tables') AS tables, count(*) FILTER (kind = 'pictures') AS pictures,
+  CAST(coalesce(sum(length(content) - length(replace(content, chr(65533), '')) + (length(content) - length(replace(lower(content), 'glyph<', ''))) // 6), 0) AS BIGINT) AS encoding_artifacts, count(*) FILTER (kind = 'texts' AND label = 'formula' AND trim(content) = '') AS empty_formulas
+  FROM grid_v g LEFT JOIN spread_v s ON s.batch = g.batch AND s.page = g.page GROUP BY g.batch, g.page),
+ source_v AS (SELECT book AS batch, page_no + CASE WHEN right(book, 1) = '1' THEN 40 ELSE 0 END AS page, CASE WHEN doc_id % 10 = 3 THEN 5 ELSE CAST(length(text) * (doc_id % 4 + 1) AS INTEGER) END AS chars FROM pages_v WHERE right(book, 1) <> '7'),
+ reason_v AS (SELECT *, list_filter([CASE WHEN empty_formulas > 0 THEN 'empty_formula_text' END, CASE WHEN tables > 0 THEN 'table_manual_review_required' END, CASE WHEN known AND coalesce(chars, 0) >= 300 AND text_chars < coalesce(chars, 0) * 0.45::DOUBLE THEN 'low_text_retention' END,
+  CASE WHEN known AND coalesce(chars, 0) < 30 AND text_chars < 30 AND pictures > 0 THEN 'image_text_review' END, CASE WHEN encoding_artifacts > 0 THEN 'encoding_artifact' END, CASE WHEN texts + tables + pictures = 0 THEN 'no_mapped_elements' END], lambda x: x IS NOT NULL) AS reasons
+  FROM (SELECT c.*, s.chars, c.batch IN (SELECT batch FROM source_v) AS known FROM counts_v c LEFT JOIN source_v s ON s.batch = c.batch AND s.page = c.page) x),
+ report_v AS (SELECT b.batch, first, n, shift, unmapped, flagged, texts, tables, pictures, list_filter([CASE WHEN right(b.batch, 1) = '3' THEN 'page_count_mismatch' END, CASE WHEN right(b.batch, 1) = '7' THEN 'source_text_comparison_unavailable' END], lambda x: x IS NOT NULL) AS reasons FROM seen_v b
+  JOIN (SELECT batch, count(*) FILTER (unmapped) AS unmapped FROM placed_v GROUP BY batch) u USING (batch) JOIN (SELECT batch, count(*) FILTER (len(reasons) > 0) AS flagged, CAST(sum(texts) AS BIGINT) AS texts, CAST(sum(tables) AS BIGINT) AS tables, CAST(sum(pictures) AS BIGINT) AS pictures FROM reason_v GROUP BY batch) r USING (batch))"""

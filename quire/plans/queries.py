@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions import text as X
-from quire.operators import answers, audit, chunks, retrieval, trees
+from quire.operators import answers, audit, chunks, quality, retrieval, trees
 from quire.plans import oracles as O
 from quire.session import table
 from quire.sources import views as V
@@ -177,10 +177,12 @@ def reference_predicate(s, d):
     return table(s, d, "documents").select("doc_id", X.is_reference_path(F.expr(HEADING)).alias("is_reference"))
 
 
-@query(body="""SELECT doc_id, CAST((length(text) - length(replace(text, chr(65533), ''))) AS BIGINT) AS bad_chars, CAST((length(text) - length(replace(lower(text), '|', ''))) AS BIGINT) AS bars FROM documents""")
+SPOILT = "text || CASE doc_id % 4 WHEN 0 THEN ' \ufffd Glyph<12> glyph<7>' WHEN 1 THEN '\ufffd\ufffd' ELSE '' END"
+
+
+@query(body=f"SELECT doc_id, CAST(length(t) - length(replace(t, chr(65533), '')) + (length(t) - length(replace(lower(t), 'glyph<', ''))) / 6 AS BIGINT) AS artifacts FROM (SELECT doc_id, {SPOILT} AS t FROM documents) x")
 def encoding_artifacts(s, d):
-    t = F.col("text")
-    return table(s, d, "documents").select("doc_id", X.occurrences(t, "�").alias("bad_chars"), X.occurrences(t, "|").alias("bars"))
+    return table(s, d, "documents").select("doc_id", quality.artifacts(F.expr(SPOILT)).alias("artifacts"))
 
 
 @query(O.TOC, body="SELECT book, structure, length(structure) - length(replace(structure, '.', '')) + 1 AS level, CAST(CASE string_split(structure, '.')[1] WHEN 'II' THEN 2 ELSE 1 END AS INTEGER) AS numeral FROM toc_v")
@@ -228,25 +230,6 @@ def first_n_samples(s, d):
     return audit.first_samples(V.records(s, d), (F.col("label") != "section_header") & (F.length("text") > 2000), 25).select("book", "rec_no", "rank")
 
 
-@query(O.QUALITY, body="SELECT book, count(*) AS n_pages, CAST(sum(text_chars) AS BIGINT) AS text_chars, CAST(sum(tables) AS BIGINT) AS tables, CAST(sum(pictures) AS BIGINT) AS pictures FROM quality_v GROUP BY book")
-def page_quality(s, d):
-    return V.page_quality(s, d).groupBy("book").agg(F.count(F.lit(1)).alias("n_pages"), *[F.sum(c).alias(c) for c in ("text_chars", "tables", "pictures")])
-
-
-FLAGS = """flagged AS (SELECT *, list_filter([CASE WHEN tables > 0 THEN 'table_manual_review_required' END, CASE WHEN source_text_chars >= 300 AND text_chars < source_text_chars * 0.45::DOUBLE THEN 'low_text_retention' END,
- CASE WHEN source_text_chars < 30 AND text_chars < 30 AND pictures > 0 THEN 'image_text_review' END, CASE WHEN text_chars = 0 AND tables = 0 AND pictures = 0 THEN 'no_mapped_elements' END], lambda x: x IS NOT NULL) AS reasons FROM quality_v)"""
-
-
-@query(O.QUALITY, FLAGS, body="SELECT book, page_no, array_to_string(reasons, ';') AS reasons, len(reasons) AS n_reasons FROM flagged")
-def quality_flags(s, d):
-    return audit.flags(V.page_quality(s, d)).select("book", "page_no", F.concat_ws(";", "reasons").alias("reasons"), F.size("reasons").cast("long").alias("n_reasons"))
-
-
-@query(O.QUALITY, FLAGS, body="SELECT book, page_no, array_to_string(reasons, ';') AS reasons FROM flagged WHERE len(reasons) > 0")
-def review_queue(s, d):
-    return audit.review_queue(audit.flags(V.page_quality(s, d)))
-
-
 @query(body="""SELECT batch, page, CAST(coalesce(sum(size), 0) AS BIGINT) AS text_chars FROM (SELECT DISTINCT doc_id // 10 AS batch, unnest(range(41, 51)) AS page FROM documents) g LEFT JOIN
  (SELECT DISTINCT doc_id, doc_id // 10 AS b, length(text) AS size, 41 + CAST(doc_id % 10 AS INTEGER) AS p FROM documents) i ON b = batch AND p = page GROUP BY batch, page""")
 def provenance_relative(s, d):

@@ -67,12 +67,30 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("claim_id"), F.col("doc_id").alias("evidence_id"), quote.alias("quote"))
 
 
-def page_quality(spark: SparkSession, sf: str) -> DataFrame:
-    size, i = F.length("text"), F.col("doc_id")
-    return pages(spark, sf).select(
-        "book", "page_no", size.cast("int").alias("text_chars"), (size * (i % 4 + 1)).cast("int").alias("source_text_chars"),
-        F.when(i % 7 == 0, 1).otherwise(0).alias("tables"), F.when(i % 11 == 0, 1).otherwise(0).alias("pictures"),
+def layout(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items, batches, sources): a book is a batch of pages, a line of it a layout item.
+
+    Some items are tables with cells, pictures, empty formulas or spoilt text, some have no
+    page or two. Batches of some books count their pages from 1 although they start at 41,
+    some lack a page, and some have no source text.
+    """
+    p = pages(spark, sf)
+    each = p.select(F.col("book").alias("batch"), "page_no", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("i", F.col("doc_id") * 3 + F.col("pos"))
+    i, line = F.col("i"), F.col("line")
+    kind = F.when(i % 13 == 4, "tables").when(i % 13 == 7, "pictures").otherwise("texts")
+    text = F.when(kind != "texts", "").when((i % 19 == 3) & (i % 2 == 0), "").when(i % 23 == 5, F.concat(line, F.lit("\ufffd GLYPH<1>"))).otherwise(line)
+    cells = F.when(kind == "tables", F.transform(F.split(F.substring(line, 1, 40), " "), lambda x: F.struct(x.alias("text"))))
+    on = F.when(i % 29 == 6, F.array().cast("array<int>")).when(i % 31 == 8, F.array("page_no", F.col("page_no") + 1)).otherwise(F.array("page_no"))
+    items = each.select("batch", kind.alias("kind"), F.when(i % 19 == 3, "formula").otherwise("text").alias("label"), text.alias("text"), cells.alias("cells"), on.cast("array<int>").alias("pages"))
+    last = F.substring("book", -1, 1)
+    first = F.when(last == "1", 41).otherwise(1)
+    batches = p.groupBy("book").agg(F.max("page_no").alias("n")).select(
+        F.col("book").alias("batch"), first.alias("start"), (first + F.col("n") - 1).alias("end"), (F.col("n") - F.when(last == "3", 1).otherwise(0)).alias("n_pages"),
+        "book", F.lit("fast").alias("profile"), F.concat(F.lit("out/"), "book").alias("folder"),
     )
+    chars = (F.length("text") * (F.col("doc_id") % 4 + 1)).cast("int")
+    sources = p.filter(last != "7").select(F.col("book").alias("batch"), (F.col("page_no") + first - 1).alias("page"), F.when(F.col("doc_id") % 10 == 3, 5).otherwise(chars).alias("chars"))
+    return items, batches, sources
 
 
 def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
