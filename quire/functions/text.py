@@ -75,7 +75,7 @@ def roman(text: Column) -> Column:
 
 
 def is_personal(question: Column) -> Column:
-    return F.lower(question).rlike(r"\b(my|mine|me|i|our|we)\b")
+    return F.lower(question).rlike(r"(?U)\b(my|mine|me|i|our|we)\b")
 
 
 def asks_for_sources(question: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ def upper_median(rows: DataFrame, value: str) -> DataFrame:
 
 
 def mode_first(rows: DataFrame, value: str, order: str) -> DataFrame:
-    """The commonest value of each book; the one met first on a tie."""
+    """The commonest value of each book; the one met first on a tie. A book all of whose values are null gets 0."""
     counts = rows.groupBy("book", value).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_first"))
     rank = F.row_number().over(W.partitionBy("book").orderBy(F.desc("n"), "_first"))
     return counts.withColumn("_r", rank).filter("_r = 1").select("book", F.col(value).alias("offset"), "n")
@@ -69,11 +69,40 @@ def prefix_parents(items: DataFrame) -> DataFrame:
     return joined.groupBy("book", "ord", "structure").agg(F.max("_o").alias("parent_ord"))
 
 
-def sibling_ends(nodes: DataFrame) -> DataFrame:
-    """Ends within siblings: max(start, next start - 1); the last takes its parent's end (column parent_end)."""
-    order = W.partitionBy("book", "parent").orderBy("ord")
-    after = F.lead("start_index").over(order)
-    return nodes.withColumn("end_index", F.when(after.isNull(), F.greatest("start_index", "parent_end")).otherwise(F.greatest(F.col("start_index"), after - 1)).cast("int"))
+def parent_code(code: Column) -> Column:
+    """A dotted code without its last part; empty at the top."""
+    return F.when(code.contains("."), F.regexp_replace(code, r"\.[^.]*$", "")).otherwise("")
+
+
+def sibling_ends(nodes: DataFrame, last: DataFrame) -> DataFrame:
+    """Ends within siblings: max(start, next start - 1); the last sibling ends with its parent, at the top with the book (last: book, last_page).
+
+    Ends are handed down depth by depth, a join each. A missing start is page 1; a missing
+    next start counts as the parent's end. A node whose parent is not there ends like one at the top.
+    """
+    start = F.coalesce("start_index", F.lit(1)).cast("int")
+    after = F.lead(F.struct("start_index")).over(W.partitionBy("book", "parent").orderBy("ord"))
+    level = nodes.withColumn("parent", parent_code(F.col("structure"))).withColumn("_after", after).withColumn("start_index", start).withColumn("depth", F.size(F.split("structure", r"\.")))
+    depths = nodes.agg(F.max(F.size(F.split("structure", r"\.")))).first()[0] or 0
+    done, above = None, None
+    for depth in range(1, depths + 1):
+        own = level.filter(F.col("depth") == depth).join(last.select("book", "last_page"), "book")
+        if above is None:
+            own = own.withColumn("_limit", F.col("last_page"))
+        else:
+            given = above.select("book", F.col("structure").alias("parent"), F.col("end_index").alias("_given"))
+            own = own.join(given, ["book", "parent"], "left").withColumn("_limit", F.coalesce("_given", "last_page")).drop("_given")
+        following = F.when(F.col("_after").isNull(), F.col("_limit")).otherwise(F.coalesce(F.col("_after")["start_index"], F.col("_limit")) - 1)
+        above = own.withColumn("end_index", F.greatest("start_index", following).cast("int")).drop("_after", "_limit", "last_page")
+        done = above if done is None else done.unionByName(above)
+    return done if done is not None else level.drop("_after").withColumn("end_index", F.lit(None).cast("int"))
+
+
+def with_leaves(nodes: DataFrame) -> DataFrame:
+    """nodes with is_leaf: no node has its code as parent."""
+    parents = nodes.select(F.col("book").alias("_b"), F.col("parent").alias("_p")).distinct().withColumn("_inner", F.lit(True))
+    joined = nodes.join(parents, (F.col("book") == F.col("_b")) & (F.col("structure") == F.col("_p")), "left")
+    return joined.withColumn("is_leaf", F.col("_inner").isNull()).drop("_b", "_p", "_inner")
 
 
 def number_nodes(nodes: DataFrame, order: list[str]) -> DataFrame:
@@ -82,18 +111,31 @@ def number_nodes(nodes: DataFrame, order: list[str]) -> DataFrame:
     return nodes.withColumn("node_id", F.format_string("%04d", place))
 
 
+#: The least number of top nodes, the widest leaf in pages and as a part of a book, the least part of a book that a tree covers.
+TOP_NODES, LEAF_PAGES, LEAF_SHARE, COVERAGE = 3, 150, 0.15, 0.85
+
+
 def validate(nodes: DataFrame, totals: DataFrame) -> DataFrame:
-    """(book, ok, reasons): nodes (book, depth, title, start_index, end_index, is_leaf), totals (book, n_pages)."""
-    span = F.col("end_index") - F.col("start_index") + 1
+    """(book, ok, reasons): nodes (book, depth, title, start_index, end_index, is_leaf), totals (book, n_pages).
+
+    A book of either side gets a row: one without nodes has an empty structure, one without
+    a page count is not checked against it. Nodes without a start or end have no span.
+    """
+    length = F.col("end_index") - F.col("start_index") + 1
     top = F.col("depth") == 1
-    limit = F.greatest(F.lit(150), F.floor(F.col("n_pages") * 0.15))
-    m = nodes.join(totals, "book").groupBy("book").agg(
-        F.count_if(top).alias("top"), F.count_if(F.btrim("title") == "").alias("untitled"),
-        F.count_if(F.col("end_index") < F.col("start_index")).alias("reversed"), F.count_if(F.col("is_leaf") & (span > limit)).alias("wide"),
-        ((F.max(F.when(top, F.col("end_index"))) - F.min(F.when(top, F.col("start_index"))) + 1) / F.max("n_pages")).alias("coverage"),
+    limit = F.greatest(F.lit(LEAF_PAGES), F.coalesce(F.floor(F.col("n_pages") * LEAF_SHARE), F.lit(0)))
+    m = nodes.join(totals, "book", "left").groupBy("book").agg(
+        F.count_if(top).alias("top"), F.count_if(F.btrim(F.coalesce("title", F.lit(""))) == "").alias("untitled"),
+        F.count_if(length < 1).alias("reversed"), F.count_if(F.col("is_leaf") & (length > limit)).alias("wide"),
+        (F.max(F.when(top & length.isNotNull(), F.col("end_index"))) - F.min(F.when(top & length.isNotNull(), F.col("start_index"))) + 1).alias("covered"),
     )
-    rules = [("few_top_nodes", F.col("top") < 3), ("empty_titles", F.col("untitled") > 0), ("reversed_span", F.col("reversed") > 0), ("wide_leaf", F.col("wide") > 0), ("low_coverage", F.coalesce(F.col("coverage") < 0.85, F.lit(True)))]
-    return m.withColumn("reasons", F.concat_ws(";", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules])))).select("book", (F.col("reasons") == "").alias("ok"), "reasons")
+    joined = m.join(totals, "book", "full").withColumn("top", F.coalesce("top", F.lit(0)))
+    rules = [
+        ("few_top_nodes", F.col("top") < TOP_NODES), ("empty_titles", F.col("untitled") > 0), ("no_page_count", F.col("n_pages").isNull()),
+        ("reversed_span", F.col("reversed") > 0), ("wide_leaf", F.col("wide") > 0), ("low_coverage", F.col("covered") / F.col("n_pages") < COVERAGE),
+    ]
+    found = F.concat_ws(";", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules])))
+    return joined.withColumn("reasons", F.when(F.col("top") == 0, "empty_structure").otherwise(found)).select("book", (F.col("reasons") == "").alias("ok"), "reasons")
 
 
 def flatten_trees(spark: SparkSession, trees: DataFrame) -> DataFrame:

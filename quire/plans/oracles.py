@@ -7,9 +7,10 @@ RECORDS = PAGES + """, line_v AS (SELECT book, CAST(row_number() OVER (PARTITION
  records_v AS (SELECT book, rec_no, book || '#' || rec_no AS id, doc_id, CAST(CASE WHEN i % 41 = 7 THEN NULL WHEN i % 53 = 8 THEN page_no - 3 ELSE page_no END AS INT) AS page_no, chapter, pos, label,
  CASE WHEN label = 'section_header' THEN CAST(1 + doc_id % 3 AS INT) END AS level,
  CASE WHEN label = 'table' AND i % 2 = 0 THEN '| ' || line || ' |' || chr(10) || '|---|' WHEN label = 'list' THEN replace(line, '. ', chr(10) || '- ') ELSE line END AS text FROM line_v)"""
-TOC = PAGES + """, toc_r AS (SELECT book, chapter, page_no, doc_id, dense_rank() OVER (PARTITION BY book ORDER BY chapter) c, row_number() OVER (PARTITION BY book, chapter ORDER BY page_no) d, substr(text, 1, 60) t FROM pages_v),
+TOC = PAGES + """, toc_r AS (SELECT book, chapter, page_no, doc_id, dense_rank() OVER (PARTITION BY book ORDER BY chapter) c, row_number() OVER (PARTITION BY book, chapter ORDER BY page_no) d, substr(text, 1, 60) t, substr(text, 61, 30) u FROM pages_v),
  toc_v AS (SELECT book, CAST(c AS VARCHAR) AS structure, 1 AS depth, chapter AS title, min(page_no) AS physical_index, 'yes' AS appear_start FROM toc_r GROUP BY book, c, chapter
- UNION ALL SELECT book, c || '.' || d, 2, t, page_no, CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END FROM toc_r)"""
+ UNION ALL SELECT book, c || '.' || d, 2, t, page_no, CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END FROM toc_r
+ UNION ALL SELECT book, c || '.' || d || '.' || e, 3, u, CAST(page_no + e - 1 AS INTEGER), CASE WHEN doc_id % 2 = 0 THEN 'yes' ELSE 'no' END FROM toc_r, unnest([1, 2]) AS x(e) WHERE doc_id % 3 = 0)"""
 ORDERED = TOC + """, toc_o AS (SELECT *, CAST(row_number() OVER (PARTITION BY book ORDER BY physical_index, depth, structure) AS INT) AS ord FROM toc_v)"""
 CLAIMS = "claims_v AS (SELECT doc_id AS claim_id, doc_id AS evidence_id, CASE WHEN doc_id % 5 = 0 THEN reverse(substr(text, 1, 40)) ELSE substr(text, CAST(1 + doc_id % 17 AS INT), 40) END AS quote FROM documents)"
 HTML = """blocks_v AS (SELECT page_id, CAST(u.pos - 1 AS INT) AS pos, t.tags[u.pos] AS tag, u.block AS text FROM (SELECT page_id, regexp_extract_all(html, '<(h1|p|li)>(?:<[a-z][^>]*>)*([^<]*)', 1) AS tags, regexp_extract_all(html, '<(h1|p|li)>(?:<[a-z][^>]*>)*([^<]*)', 2) AS blocks FROM pages) t, unnest(t.blocks) WITH ORDINALITY u(block, pos))"""

@@ -165,7 +165,7 @@ def uppercase_headers(s, d):
 @query(body=r"SELECT conv_id, turn, regexp_matches(lower(text), '(^|[^\p{L}\p{N}_])(my|mine|me|i|our|we)([^\p{L}\p{N}_]|$)') AS personal FROM conversations WHERE role = 'user'")
 def personal_question_filter(s, d):
     asked = table(s, d, "conversations").filter("role = 'user'")
-    return asked.select("conv_id", "turn", F.lower("text").rlike(r"(?U)\b(my|mine|me|i|our|we)\b").alias("personal"))
+    return asked.select("conv_id", "turn", X.is_personal(F.col("text")).alias("personal"))
 
 
 #: Headings of a few kinds, made from an id.
@@ -185,9 +185,12 @@ def encoding_artifacts(s, d):
     return table(s, d, "documents").select("doc_id", quality.artifacts(F.expr(SPOILT)).alias("artifacts"))
 
 
-@query(O.TOC, body="SELECT book, structure, length(structure) - length(replace(structure, '.', '')) + 1 AS level, CAST(CASE string_split(structure, '.')[1] WHEN 'II' THEN 2 ELSE 1 END AS INTEGER) AS numeral FROM toc_v")
+NUMERALS = "'I', 'II', 'iii', 'IV', 'v', 'VI', 'VII', 'VIII', 'IX', 'X', 'XI', 'A'"
+
+
+@query(O.ORDERED, body=f"SELECT book, structure, length(structure) - length(replace(structure, '.', '')) + 1 AS level, CAST(coalesce(list_position(['I', 'II', 'III', 'IV', 'V', 'VI', 'VII', 'VIII', 'IX', 'X'], upper([{NUMERALS}][ord % 12 + 1])), 1) AS INTEGER) AS numeral FROM toc_o")
 def roman_level(s, d):
-    return V.toc_items(s, d).select("book", "structure", X.heading_level(F.col("structure")).cast("long").alias("level"), X.roman(F.substring_index("structure", ".", 1)).alias("numeral"))
+    return _ordered(s, d).select("book", "structure", X.heading_level(F.col("structure")).cast("long").alias("level"), X.roman(F.expr(f"get(array({NUMERALS}), ord % 12)")).alias("numeral"))
 
 
 @query(O.HTML, body="""SELECT page_id, pos, tag, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS safe FROM blocks_v""")
@@ -312,15 +315,17 @@ def tree_node_ids_bfs(s, d):
     return trees.number_nodes(_paths(s, d), ["depth", "path"]).select("book", "structure", "node_id")
 
 
-SIBLINGS = """nodes AS (SELECT o.*, CASE WHEN depth = 1 THEN '' ELSE string_split(structure, '.')[1] END AS parent FROM toc_o o),
- ends AS (SELECT n.book, structure, depth, title, physical_index AS start_index, CAST(CASE WHEN lead(physical_index) OVER (PARTITION BY n.book, parent ORDER BY ord) IS NULL THEN greatest(physical_index, m) ELSE greatest(physical_index, lead(physical_index) OVER (PARTITION BY n.book, parent ORDER BY ord) - 1) END AS INTEGER) AS end_index
-  FROM nodes n JOIN (SELECT book, max(page_no) AS m FROM pages_v GROUP BY book) p ON p.book = n.book)"""
+SIBLINGS = r"""nodes AS (SELECT o.*, CASE WHEN depth = 1 THEN '' ELSE regexp_replace(structure, '\.[^.]*$', '') END AS parent FROM toc_o o),
+ nexts AS (SELECT *, lead(physical_index) OVER (PARTITION BY book, parent ORDER BY ord) AS after FROM nodes),
+ e1 AS (SELECT n.*, greatest(physical_index, coalesce(after - 1, m)) AS end_index FROM nexts n JOIN (SELECT book, max(page_no) AS m FROM pages_v GROUP BY book) p ON p.book = n.book WHERE depth = 1),
+ e2 AS (SELECT n.*, greatest(n.physical_index, coalesce(n.after - 1, p.end_index)) AS end_index FROM nexts n JOIN e1 p ON p.book = n.book AND p.structure = n.parent WHERE n.depth = 2),
+ e3 AS (SELECT n.*, greatest(n.physical_index, coalesce(n.after - 1, p.end_index)) AS end_index FROM nexts n JOIN e2 p ON p.book = n.book AND p.structure = n.parent WHERE n.depth = 3),
+ ends AS (SELECT book, structure, depth, title, parent, ord, physical_index AS start_index, CAST(end_index AS INTEGER) AS end_index FROM (SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3) x)"""
 
 
 def _sibling_nodes(s, d):
-    last = V.pages(s, d).groupBy("book").agg(F.max("page_no").cast("int").alias("parent_end"))
-    nodes = _ordered(s, d).withColumn("parent", F.when(F.col("depth") == 1, "").otherwise(F.substring_index("structure", ".", 1))).withColumnRenamed("physical_index", "start_index")
-    return trees.sibling_ends(nodes.join(last, "book"))
+    last = V.pages(s, d).groupBy("book").agg(F.max("page_no").cast("int").alias("last_page"))
+    return trees.sibling_ends(_ordered(s, d).withColumnRenamed("physical_index", "start_index"), last)
 
 
 @query(O.ORDERED, SIBLINGS, body="SELECT book, structure, start_index, end_index FROM ends")
@@ -328,29 +333,45 @@ def sibling_end_index(s, d):
     return _sibling_nodes(s, d).select("book", "structure", "start_index", "end_index")
 
 
-@query(O.ORDERED, SIBLINGS, """m AS (SELECT e.book, count(*) FILTER (depth = 1) < 3 AS a, count(*) FILTER (trim(title) = '') > 0 AS b, count(*) FILTER (end_index < start_index) > 0 AS c,
-  count(*) FILTER (depth = 2 AND end_index - start_index + 1 > greatest(150, floor(n * 0.15::DOUBLE))) > 0 AS dd,
-  (max(end_index) FILTER (depth = 1) - min(start_index) FILTER (depth = 1) + 1)::DOUBLE / max(n) < 0.85 AS e FROM ends e JOIN (SELECT book, count(*) AS n FROM pages_v GROUP BY book) p ON p.book = e.book GROUP BY e.book)""",
- body="""SELECT book, reasons = '' AS ok, reasons FROM (SELECT book, array_to_string(list_filter([CASE WHEN a THEN 'few_top_nodes' END, CASE WHEN b THEN 'empty_titles' END, CASE WHEN c THEN 'reversed_span' END, CASE WHEN dd THEN 'wide_leaf' END, CASE WHEN e THEN 'low_coverage' END], lambda x: x IS NOT NULL), ';') AS reasons FROM m) y""")
+#: Faults by book, so that each rule of validation finds some: the same expressions on nodes and totals in both engines.
+FAULTY = {
+    "title": "CASE WHEN right(book, 1) = '2' AND ord = 4 THEN ' ' ELSE title END",
+    "end_index": "CASE WHEN right(book, 1) = '6' AND ord = 3 THEN start_index - 1 WHEN right(book, 1) = '9' AND depth > 1 THEN end_index + 200 ELSE end_index END",
+}
+KEPT_NODES = "right(book, 1) <> '5' AND NOT (right(book, 1) = '0' AND structure >= '3')"
+PAGE_TOTALS = "CASE WHEN right(book, 1) = '8' THEN n * 2 ELSE n END"
+
+
+@query(O.ORDERED, SIBLINGS, f"""faulty AS (SELECT book, structure, parent, depth, ord, start_index, {FAULTY["title"]} AS title, {FAULTY["end_index"]} AS end_index FROM ends WHERE {KEPT_NODES}),
+ totals AS (SELECT book, {PAGE_TOTALS} AS n FROM (SELECT book, count(*) AS n FROM pages_v GROUP BY book) x WHERE right(book, 1) <> '4'),
+ marked AS (SELECT f.*, n, NOT EXISTS (SELECT 1 FROM faulty c WHERE c.book = f.book AND c.parent = f.structure) AS leaf FROM faulty f LEFT JOIN totals t ON t.book = f.book),
+ m AS (SELECT book, count(*) FILTER (depth = 1) AS a, count(*) FILTER (trim(title) = '') AS b, count(*) FILTER (end_index < start_index) AS c, count(*) FILTER (leaf AND end_index - start_index + 1 > greatest(150, coalesce(floor(n * 0.15::DOUBLE), 0))) AS dd,
+  max(end_index) FILTER (depth = 1) - min(start_index) FILTER (depth = 1) + 1 AS covered FROM marked GROUP BY book)""",
+ body="""SELECT book, reasons = '' AS ok, reasons FROM (SELECT book, CASE WHEN coalesce(a, 0) = 0 THEN 'empty_structure' ELSE array_to_string(list_filter([CASE WHEN a < 3 THEN 'few_top_nodes' END, CASE WHEN b > 0 THEN 'empty_titles' END, CASE WHEN n IS NULL THEN 'no_page_count' END, CASE WHEN c > 0 THEN 'reversed_span' END, CASE WHEN dd > 0 THEN 'wide_leaf' END, CASE WHEN covered::DOUBLE / n < 0.85 THEN 'low_coverage' END], lambda x: x IS NOT NULL), ';') END AS reasons
+ FROM m FULL JOIN totals USING (book)) y""")
 def tree_validate(s, d):
-    totals = V.pages(s, d).groupBy("book").agg(F.count(F.lit(1)).alias("n_pages"))
-    return trees.validate(_sibling_nodes(s, d).withColumn("is_leaf", F.col("depth") == 2), totals)
+    totals = V.pages(s, d).groupBy("book").agg(F.count(F.lit(1)).alias("n")).filter("right(book, 1) <> '4'").select("book", F.expr(PAGE_TOTALS).alias("n_pages"))
+    nodes = _sibling_nodes(s, d).filter(KEPT_NODES).select("book", "structure", "parent", "depth", "ord", "start_index", *[F.expr(e).alias(c) for c, e in FAULTY.items()])
+    return trees.validate(trees.with_leaves(nodes), totals)
 
 
-@query(O.ORDERED, body="""SELECT t.book AS doc, t.depth, CASE WHEN t.depth = 1 THEN t.title ELSE p.title || ' > ' || t.title END AS crumb, t.physical_index AS start_index FROM toc_o t
- LEFT JOIN toc_o p ON p.book = t.book AND p.depth = 1 AND p.structure = string_split(t.structure, '.')[1]""")
+@query(O.ORDERED, body=r"""SELECT t.book AS doc, t.depth, CASE t.depth WHEN 1 THEN t.title WHEN 2 THEN p.title || ' > ' || t.title ELSE g.title || ' > ' || p.title || ' > ' || t.title END AS crumb, t.physical_index AS start_index FROM toc_o t
+ LEFT JOIN toc_o p ON p.book = t.book AND t.depth > 1 AND p.structure = regexp_replace(t.structure, '\.[^.]*$', '') LEFT JOIN toc_o g ON g.book = t.book AND t.depth = 3 AND g.structure = string_split(t.structure, '.')[1]""")
 def tree_flatten(s, d):
     """Nested JSON trees, built from the contents and flattened again by recursion."""
     items = _paths(s, d)
-    low = items.filter("depth = 2").groupBy("book", F.get("path", F.lit(0)).alias("c")).agg(F.sort_array(F.collect_list(F.struct(F.get("path", F.lit(1)).alias("d"), "title", F.col("physical_index").alias("start_index")))).alias("nodes"))
-    top = items.filter("depth = 1").select("book", F.get("path", F.lit(0)).alias("c"), "title", F.col("physical_index").alias("start_index")).join(low, ["book", "c"])
-    nested = top.groupBy("book").agg(F.sort_array(F.collect_list(F.struct("c", "title", "start_index", "nodes"))).alias("structure"))
+    part = lambda i: F.get("path", F.lit(i))
+    keep = ["title", F.col("physical_index").alias("start_index")]
+    level = lambda n, *more: items.filter(f"depth = {n}").select("book", *[part(i).alias("cde"[i]) for i in range(n)], *keep, *more)
+    deep = level(3).groupBy("book", "c", "d").agg(F.sort_array(F.collect_list(F.struct("e", "title", "start_index"))).alias("nodes"))
+    low = level(2).join(deep, ["book", "c", "d"], "left").groupBy("book", "c").agg(F.sort_array(F.collect_list(F.struct("d", "title", "start_index", "nodes"))).alias("nodes"))
+    nested = level(1).join(low, ["book", "c"]).groupBy("book").agg(F.sort_array(F.collect_list(F.struct("c", "title", "start_index", "nodes"))).alias("structure"))
     made = nested.select(F.col("book").alias("doc"), F.to_json(F.struct("structure")).alias("tree"))
     return trees.flatten_trees(s, made).select("doc", "depth", "crumb", "start_index")
 
 
-@query(O.ORDERED, SIBLINGS, body="""SELECT e.book AS doc, e.structure, CASE WHEN e.end_index - e.start_index + 1 >= 2 THEN e.structure WHEN e.depth = 2 AND p.end_index - p.start_index + 1 >= 2 THEN p.structure END AS climbed FROM ends e
- LEFT JOIN ends p ON p.book = e.book AND p.depth = 1 AND e.depth = 2 AND p.structure = string_split(e.structure, '.')[1]""")
+@query(O.ORDERED, SIBLINGS, "wide AS (SELECT * FROM ends WHERE end_index - start_index + 1 >= 2)", body=r"""SELECT e.book AS doc, e.structure, coalesce(a.structure, b.structure, c.structure) AS climbed FROM ends e LEFT JOIN wide a ON a.book = e.book AND a.structure = e.structure
+ LEFT JOIN wide b ON b.book = e.book AND e.depth > 1 AND b.structure = regexp_replace(e.structure, '\.[^.]*$', '') LEFT JOIN wide c ON c.book = e.book AND e.depth = 3 AND c.structure = string_split(e.structure, '.')[1]""")
 def ancestor_climb(s, d):
     nodes = _sibling_nodes(s, d).select(F.col("book").alias("doc"), F.split("structure", r"\.").alias("path"), "start_index", "end_index")
     return trees.climb(nodes).select("doc", F.concat_ws(".", "path").alias("structure"), F.when(F.col("climbed").isNotNull(), F.concat_ws(".", "climbed")).alias("climbed"))

@@ -40,19 +40,20 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def toc_items(spark: SparkSession, sf: str) -> DataFrame:
-    """Two levels of contents: chapters, and a title for each page."""
+    """Three levels of contents: chapters, a title for each page, and two parts of some pages."""
     p = pages(spark, sf)
     c = F.dense_rank().over(W.partitionBy("book").orderBy("chapter"))
     d = F.row_number().over(W.partitionBy("book", "chapter").orderBy("page_no"))
-    r = p.select("book", "chapter", "page_no", "doc_id", c.alias("c"), d.alias("d"), F.substring("text", 1, 60).alias("t"))
+    r = p.select("book", "chapter", "page_no", "doc_id", c.alias("c"), d.alias("d"), F.substring("text", 1, 60).alias("t"), F.substring("text", 61, 30).alias("u"))
+    code = lambda *parts: F.concat_ws(".", *[F.col(x).cast("string") for x in parts])
     top = r.groupBy("book", "c", "chapter").agg(F.min("page_no").alias("physical_index")).select(
-        "book", F.col("c").cast("string").alias("structure"), F.lit(1).alias("depth"), F.col("chapter").alias("title"), "physical_index", F.lit("yes").alias("appear_start")
+        "book", code("c").alias("structure"), F.lit(1).alias("depth"), F.col("chapter").alias("title"), "physical_index", F.lit("yes").alias("appear_start")
     )
-    low = r.select(
-        "book", F.concat_ws(".", F.col("c").cast("string"), F.col("d").cast("string")).alias("structure"), F.lit(2).alias("depth"), F.col("t").alias("title"),
-        F.col("page_no").alias("physical_index"), F.when(F.col("doc_id") % 2 == 0, "yes").otherwise("no").alias("appear_start"),
-    )
-    return top.unionByName(low)
+    even = F.when(F.col("doc_id") % 2 == 0, "yes").otherwise("no").alias("appear_start")
+    low = r.select("book", code("c", "d").alias("structure"), F.lit(2).alias("depth"), F.col("t").alias("title"), F.col("page_no").alias("physical_index"), even)
+    parts = r.filter("doc_id % 3 = 0").withColumn("e", F.explode(F.array(F.lit(1), F.lit(2))))
+    deep = parts.select("book", code("c", "d", "e").alias("structure"), F.lit(3).alias("depth"), F.col("u").alias("title"), (F.col("page_no") + F.col("e") - 1).alias("physical_index"), even)
+    return top.unionByName(low).unionByName(deep)
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
