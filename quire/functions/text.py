@@ -83,6 +83,17 @@ def asks_for_sources(question: Column) -> Column:
     return F.lower(question).rlike(r"\b(reference|bibliography|citation)\b")
 
 
+def is_complex(question: Column) -> Column:
+    """Whether a question asks for more than a fact."""
+    return F.lower(question).rlike(r"\b(compare|why|how|across|synthesi|versus)\b")
+
+
+def match_terms(question: Column, most: int = 16) -> Column:
+    """A full-text query of a question's first terms: quoted, any of them."""
+    terms = F.slice(F.regexp_extract_all(question, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), 1, most)
+    return F.array_join(F.transform(terms, lambda t: F.concat(F.lit('"'), t, F.lit('"'))), " OR ")
+
+
 def is_reference_path(heading: Column) -> Column:
     return F.lower(F.coalesce(heading, F.lit(""))).rlike(r"\b(references?|bibliography)\b")
 
