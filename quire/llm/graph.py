@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace
 
+#: Edges up to which the rest of a graph is settled by one task.
+FEW = 20_000
+
 
 def _canonical(edges: DataFrame) -> DataFrame:
     return edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -20,12 +26,16 @@ def components(edges: DataFrame, space: Workspace, name: str = "cc", max_rounds:
     the graph is contracted to those. An end is the target of all its neighbours, so a
     round halves the nodes with edges at least, whatever the order of the ids; following
     doubles its reach each time. Rounds are cut by tables in the shared folder. Minima
-    are combined map-side. Raises if edges are left after max_rounds.
+    are combined map-side. Once FEW edges at most are left, one task settles them. Raises
+    if edges are left after max_rounds.
     """
     live = space.write(_canonical(edges), f"{name}-e0")
     labels = space.write(live.select("a").union(live.select("b")).distinct().select(F.col("a").alias("node"), F.col("a").alias("label")), f"{name}-l0")
     turn = 0
-    while not live.isEmpty():
+    while left := live.limit(FEW + 1).count():
+        if left <= FEW:
+            ends = live.coalesce(1).mapInArrow(_united, "label long, end long")
+            return space.write(labels.join(F.broadcast(ends), "label", "left").select("node", F.coalesce("end", "label").alias("label")), f"{name}-done")
         turn += 1
         if turn > max_rounds:
             raise RuntimeError(f"edges are left after {max_rounds} rounds")
@@ -42,6 +52,24 @@ def components(edges: DataFrame, space: Workspace, name: str = "cc", max_rounds:
     return labels
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges to (node, smallest node of its component), by union-find."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            up[max(a, b)] = min(a, b)
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([find(x) for x in up], pa.int64())], names=["label", "end"])
+
+
 def _followed(up: DataFrame, space: Workspace, name: str) -> DataFrame:
     """Pointers (x, up) to the ends of their chains; an end points at itself. The last table is name, those before are dropped."""
     hop = 0

@@ -281,7 +281,7 @@ def ngram_components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     sizes = members.groupBy("block").agg(
         F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts")
     )
-    big = space.write(sizes.filter("parts > 1"), "big")
+    big = space.write(sizes.filter("parts > 1").coalesce(8), "big")
     part = F.pmod(F.xxhash64("rep"), F.coalesce("parts", F.lit(1))).cast("int")
     members = space.write(members.join(bounded_broadcast(big), "block", "left").withColumn("part", part), "parted")
     first = members.select("rep", "digest", F.concat_ws("/", "block", "part").alias("task"), F.col("rep").alias("known"))
@@ -313,7 +313,7 @@ def _across(docs, met, members, links, space, k, percent) -> DataFrame:
     live = known.join(bounded_broadcast(open_blocks), "block", "left_semi").select("block", "rep", "digest", "known")
     labels = live.groupBy("block", "known").agg(F.count(F.lit(1)).alias("many"))
     plan = labels.groupBy("block").agg(F.max_by("known", F.struct("many", "known")).alias("main"), F.max("many").alias("own"), F.sum("many").alias("all"))
-    plan = space.write(plan.select("block", "main", F.ceil(F.col("own") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("own")) / BLOCK).cast("int").alias("others")), "plan")
+    plan = space.write(plan.select("block", "main", F.ceil(F.col("own") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("all") - F.col("own")) / BLOCK).cast("int").alias("others")).coalesce(8), "plan")
     live = space.write(live.join(bounded_broadcast(plan), "block"), "live")
     # one component and few others: parts of the component are tied already, so each meets the others alone
     spot = F.when(F.col("known") == F.col("main"), F.array(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))

@@ -1,14 +1,17 @@
 """Inputs on which an operator once did less than its whole job."""
 
 import numpy as np
+import pytest
 
-from quire.llm import packing, toxicity
+from quire.llm import graph, packing, toxicity
 from quire.llm.common import Workspace
 from quire.llm.graph import components
 from quire.operators import trees
 
 
-def test_components_of_rising_chains_and_random_graphs(spark):
+@pytest.mark.parametrize("few", (0, graph.FEW))
+def test_components_of_rising_chains_and_random_graphs(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
     rng = np.random.default_rng(8)
     edges = [(i, i + 1) for i in range(3000)]  # ids rise along a path
     edges += [(10_000 + i, 20_000) for i in range(500)]  # all but the centre are local minima
