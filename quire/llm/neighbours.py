@@ -7,7 +7,10 @@ its inner product with its own code. For a query, the packed bits give an estima
 each inner product and a bound on its error; vectors whose upper bound reaches the k-th
 largest lower bound are reranked on the original vectors in double precision. A query
 also brings the k-th best inner product it has within the sample, and results below it
-never leave a task.
+never leave a task. How many cells a query looks into is measured on the sample: so many
+that ASKED of its vectors reach REACH of their k nearest others in it. Few suffice where
+vectors are clustered, whatever their number; where they have no structure it takes most
+cells, as any index would.
 
 Equal vectors are one entry of the index that keeps its k + 1 smallest ids, all that any
 result can name, and equal queries are searched once; so a vector that a third of all
@@ -36,8 +39,8 @@ from .common import Workspace, read
 K = 20
 SAMPLE = 20_000
 PER_CELL, MAX_CELLS = 1000, 1024
-#: Cells that a query looks into: this part of all, and so many at least.
-PROBE_SHARE, LEAST_PROBES = 0.75, 16
+#: Part of their neighbours whose cells sample queries must reach; that fixes how many cells a query looks into, these at least.
+REACH, LEAST_PROBES, ASKED = 0.97, 16, 400
 #: Width of the error bound in standard deviations of the estimate.
 SIGMAS = 3.0
 SUB, QUERY_SUB, QUERY_BLOCK = 8192, 2048, 256
@@ -69,6 +72,22 @@ class Index:
                 if len(own):
                     self.centroids[c] = own.mean(0)
 
+    def probes(self, sample: np.ndarray, k: int, seed: int = 5) -> int:
+        """Cells to look into, by the places that the cells of sample vectors' neighbours have in their order."""
+        cells = len(self.centroids)
+        if len(sample) <= k + 1 or cells <= LEAST_PROBES:
+            return cells
+        at = self.cell(sample)
+        asked = np.random.default_rng(seed).permutation(len(sample))[:ASKED]
+        near = sample[asked] @ sample.T
+        near[np.arange(len(asked)), asked] = -np.inf
+        best = np.argpartition(-near, k, axis=1)[:, :k]
+        order = np.argsort(-(sample[asked] @ self.centroids.T), axis=1, kind="stable")
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.arange(cells)[None, :], axis=1)
+        reached = np.sort(np.take_along_axis(place, at[best], axis=1).ravel())
+        return min(cells, max(LEAST_PROBES, int(reached[int(np.ceil(REACH * len(reached))) - 1]) + 1))
+
     def cell(self, v: np.ndarray) -> np.ndarray:
         return ((self.centroids**2).sum(1) - 2 * v @ self.centroids.T).argmin(1)
 
@@ -222,7 +241,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     sample = np.array([r["v"] for r in sample])
     index = Index(sample, max(1, min(MAX_CELLS, n // PER_CELL)))
     cells = len(index.centroids)
-    probes = min(cells, max(LEAST_PROBES, int(np.ceil(PROBE_SHARE * cells))))
+    probes = index.probes(sample, k)
     coded = space.write(entries.select("uid", "v", "ids").mapInArrow(_encoder(index), CODE), "coded")
     probing = heads.select("quid", "v").filter(F.size("v") == sample.shape[1]).mapInArrow(
         _prober(index, probes, sample, k + 1), "quid long, v array<double>, cells array<int>, floor double"
