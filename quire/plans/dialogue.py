@@ -10,6 +10,7 @@ from quire.plans import oracles as O
 from quire.plans.queries import SIBLINGS, _ordered, _sibling_nodes, query
 from quire.session import table
 from quire.sources import views as V
+from quire.workspace import Workspace
 
 #: What a model might say to a question: lists of known and unknown books, no list, a broken one, an empty one.
 SAID_BOOKS = """CASE query_id % 5 WHEN 0 THEN 'Try ["src3", "none", "src' || (query_id % 20) || '", "src5"] first.' WHEN 1 THEN 'no list here' WHEN 2 THEN '["src1"' WHEN 3 THEN '[]' ELSE '["src' || (query_id % 20) || '"]' END"""
@@ -21,7 +22,8 @@ NODES = SIBLINGS + r""", coded AS (SELECT *, list_transform(string_split(structu
 
 def _nodes(s, d):
     nodes = _sibling_nodes(s, d).withColumn("path", F.transform(F.split("structure", r"\."), lambda x: x.cast("int")))
-    return trees.number_nodes(nodes, ["path"]).withColumnRenamed("book", "doc").withColumn("crumb", F.col("title"))
+    numbered = trees.number_nodes(nodes, ["path"]).withColumnRenamed("book", "doc").withColumn("crumb", F.col("title"))
+    return Workspace(s, "nodes").write(numbered, "nodes")  # read several times
 
 
 @query(O.ORDERED, body="""SELECT book AS doc, 'Chapters include: ' || string_agg(title, '; ' ORDER BY ord) AS description FROM (SELECT book, title, row_number() OVER (PARTITION BY book ORDER BY CAST(structure AS INTEGER)) AS ord FROM toc_o WHERE depth = 1) x WHERE ord <= 5 GROUP BY book""")
@@ -43,7 +45,8 @@ def routed_books(s, d):
 
 def _picked(s, d):
     said = V.questions(s, d).select("query_id", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")).alias("doc"), F.expr(SAID_NODES).alias("said"))
-    return dialogue.picked(said, _nodes(s, d))
+    nodes = _nodes(s, d)
+    return dialogue.picked(said, nodes), nodes
 
 
 PICKED = NODES + f""", said AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS doc, {SAID_NODES.replace("query_id", "item_id")} AS said FROM benchmark),
@@ -57,13 +60,13 @@ PICKED = NODES + f""", said AS (SELECT item_id AS query_id, 'src' || (item_id %
 
 @query(O.ORDERED, PICKED, body="SELECT query_id, doc, CAST(pos AS INTEGER) AS pos, array_to_string(path, '.') AS structure FROM climbed")
 def picked_nodes(s, d):
-    return _picked(s, d).select("query_id", "doc", F.col("pos").cast("int").alias("pos"), F.concat_ws(".", F.transform("path", lambda x: x.cast("string"))).alias("structure"))
+    return _picked(s, d)[0].select("query_id", "doc", F.col("pos").cast("int").alias("pos"), F.concat_ws(".", F.transform("path", lambda x: x.cast("string"))).alias("structure"))
 
 
 @query(O.ORDERED, PICKED, body="""SELECT c.query_id, c.doc, t.title, t.start_index, t.end_index, string_agg(p.text, chr(10) ORDER BY p.page_no) AS text FROM (SELECT * FROM climbed QUALIFY row_number() OVER (PARTITION BY query_id, doc ORDER BY pos) = 1) c
  JOIN tree t ON t.doc = c.doc AND t.path = c.path JOIN pages_v p ON p.book = t.doc AND p.page_no BETWEEN t.start_index AND least(t.end_index, t.start_index + 3) GROUP BY c.query_id, c.doc, t.title, t.start_index, t.end_index""")
 def pages_to_read(s, d):
-    return dialogue.pages_to_read(_picked(s, d), _nodes(s, d), V.pages(s, d))
+    return dialogue.pages_to_read(*_picked(s, d), V.pages(s, d))
 
 
 @query(O.PAGES, body="SELECT book, count(*) AS n_pages, CAST(sum(ceil(strlen(text) / 2.0) + 2) AS BIGINT) AS n_tokens FROM pages_v GROUP BY book")
