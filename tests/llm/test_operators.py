@@ -113,7 +113,6 @@ def test_packing(docs, none):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     rows = packing.pack(docs).collect()
     for d in docs.dropDuplicates(["doc_id"]).collect():
         ids = np.array(plain.encode(d.text or "", add_special_tokens=False).ids + [1], "<u4")
@@ -131,13 +130,12 @@ def test_packing(docs, none):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(max_size=200))
+@given(st.lists(st.one_of(st.text(max_size=40), st.just("<|endoftext|>")), max_size=6).map("".join))
 def test_token_ids_equal_the_tokenizer(text):
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     assert packing.token_ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids + [1]
 
 
@@ -165,7 +163,7 @@ def test_token_counts(docs, none):
 
     for r in tokencount.count_tokens(docs.limit(30)).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
         words = re.findall(WORD, r.text or "")
-        assert r.n_words == len(words) and (r.doc_id == 12 or r.n_tokens == sum(map(plain, words)))
+        assert r.n_words == len(words) and r.n_tokens == sum(map(plain, words))
     small = tokencount.CountTrie(max_nodes=50)
     large = tokencount.CountTrie()
     assert all(small[w] == large[w] for w in (f"word{i}".encode() for i in range(300)))
