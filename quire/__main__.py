@@ -7,6 +7,7 @@ import json
 
 from quire.engine import Corpus, hashed_encoder, read_settings
 from quire.providers import Provider
+from quire.library import index_books, query_trees
 from quire.service import serve
 from quire.session import build_session
 
@@ -36,6 +37,17 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--host", default="127.0.0.1")
     one.add_argument("--port", type=int, default=8000)
     sub.add_parser("health", help="state of the index")
+    one = sub.add_parser("index", help="trees for page text files, by the first way that passes validation")
+    one.add_argument("pages", help="folder of text files, their pages parted by form feeds")
+    one.add_argument("trees", help="folder of the trees")
+    one.add_argument("--only", nargs="*", help="these books alone")
+    one.add_argument("--no-escalate", action="store_true", help="printed contents alone")
+    one.add_argument("--revalidate-only", action="store_true", help="check the trees that are there")
+    one = sub.add_parser("query", help="answers from the pages that trees lead to")
+    one.add_argument("question")
+    one.add_argument("pages")
+    one.add_argument("trees")
+    one.add_argument("--summary-only", action="store_true", help="from summaries alone")
     return p
 
 
@@ -53,6 +65,8 @@ def main(argv: list[str] | None = None) -> None:
         "ask": lambda: corpus.ask(a.question, a.audience, Provider()),
         "eval": lambda: corpus.evaluate(a.cases, Provider() if a.generate else None),
         "health": corpus.health,
+        "index": lambda: index_books(corpus.spark, a.pages, a.trees, a.only, not a.no_escalate, a.revalidate_only),
+        "query": lambda: query_trees(corpus.spark, a.question, a.pages, a.trees, a.summary_only),
     }[a.command]()
     print(json.dumps(found, indent=2, ensure_ascii=False, default=str))
 

@@ -144,6 +144,18 @@ def portable_links(markdown: Column) -> Column:
     return F.array_join(F.transform(F.split(markdown, r"(?=!\[[^\]]*\]\([^)]*\))"), renew), "")
 
 
+def portable_uris(document: Column) -> Column:
+    """A JSON text whose "uri" values that lead to exported assets are relative; other values stay."""
+    uri = r'(?s)^("uri"\s*:\s*")([^"]*)(".*)$'
+
+    def renew(piece: Column) -> Column:
+        value = F.regexp_extract(piece, uri, 2)
+        target = F.when(value.contains(ASSET_DIRS[0]), local_asset(value))
+        return F.when(piece.rlike(uri) & target.isNotNull(), F.concat(F.regexp_extract(piece, uri, 1), target, F.regexp_extract(piece, uri, 3))).otherwise(piece)
+
+    return F.array_join(F.transform(F.split(document, r'(?="uri"\s*:)'), renew), "")
+
+
 @F.pandas_udf(StringType())
 def ascii_name(names: pd.Series) -> pd.Series:
     """Names in ASCII, by compatible decomposition, for which Spark has no function."""

@@ -53,10 +53,11 @@ def chapters(pages: DataFrame) -> DataFrame:
     return found.groupBy("book", "number").agg(first).select("book", "number", F.col("f.page_no").alias("page_no"), F.col("f.title").alias("title"))
 
 
-def divisions(pages: DataFrame) -> DataFrame:
+def divisions(pages: DataFrame, kinds: tuple[str, ...] = ("PART", "SECTION")) -> DataFrame:
     """(book, label, page_no): parts and sections with a valid title and a short label, at their first page."""
     found = None
-    for kind, (pattern, most) in DIVISION.items():
+    for kind in kinds:
+        pattern, most = DIVISION[kind]
         pairs = F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(c) for g, c in ((1, "n"), (2, "t"))])
         each = pages.select("book", "page_no", F.explode(pairs).alias("d")).filter(heading_valid(strip(F.col("d.t"))))
         label = strip(F.concat(F.lit(kind + " "), F.col("d.n"), F.lit(" "), F.col("d.t")))

@@ -39,6 +39,12 @@ def list_pdfs(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"))
 
 
+def list_files(spark: SparkSession, paths: list[str], pattern: str = "*.pdf") -> DataFrame:
+    """(name, path) of the files of several folders, each file once, by name."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(paths)
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "path").distinct().orderBy("name", "path")
+
+
 def write_review_queue(queue: DataFrame, path: str) -> None:
     queue.write.mode("overwrite").option("header", True).csv(path)
 
