@@ -2,9 +2,10 @@
 
 Two zstandard dictionaries are trained with zstandard's own trainer, one on toxic and one
 on ordinary labelled text. A toxic document is mostly ordinary prose, so the samples of
-the toxic class are the words that mark it: in at least LEAST of its documents, RATIO
-times as frequent as in the other class and with a log-likelihood of STRENGTH or more.
-The samples of the ordinary class are words of its documents. A document is cut into
+the toxic class are the parts of its words that mark it: grams of GRAM bytes in at least
+LEAST of its documents and RATIO times as frequent there as in the other class, the TOP
+strongest by log-likelihood, joined where they overlap. The samples of the ordinary
+class are words of its documents. A document is cut into
 windows of WINDOW words; each is compressed with either dictionary, and the difference
 of the two lengths is a window's distance. Eight words of any length may outgrow the
 compressor's reach, so a window of more than SLICE bytes is cut into slices that overlap
@@ -47,11 +48,11 @@ from .labelled import held_out, logistic, sample, sigmoid
 
 MAX_DOCS = 4000
 WINDOW = 8
-#: Bytes of a dictionary, and of the segments and the substrings by which the trainer chooses them; the shortest match.
-SIZE, SEGMENT, SUBSTRING, MATCH = 3072, 64, 6, 6
+#: Bytes of a dictionary at most, and of the segments and the substrings by which the trainer chooses them; the shortest match.
+SIZE, SEGMENT, SUBSTRING, MATCH = 2048, 24, 6, 7
 #: Bytes of a window at most: up to here zstandard seeks a match at every position. Slices share OVERLAP bytes, so that no match is cut.
 SLICE, OVERLAP = 256, 32
-RATIO, LEAST, STRENGTH = 5.0, 5, 20.0
+GRAM, RATIO, LEAST, TOP = 7, 5.0, 6, 160
 #: Words of ordinary documents that its dictionary is trained on.
 ORDINARY_SAMPLES = 20_000
 THRESHOLD = 0.3
@@ -73,20 +74,38 @@ def _words(text: bytes) -> list[bytes]:
     return [w.strip(b".,;:!?") for w in text.lower().split()]
 
 
+def _grams(word: bytes) -> list[bytes]:
+    padded = b" " + word + b" "
+    return [padded[i : i + GRAM] for i in range(max(1, len(padded) - GRAM + 1))]
+
+
 def _marks(toxic: list[bytes], ordinary: list[bytes]) -> set[bytes]:
-    """Words whose document frequency marks toxic text."""
-    own, other = (Counter(w for t in texts for w in set(_words(t))) for texts in (toxic, ordinary))
-    found = set()
-    for word, k in own.items():
-        times = k / len(toxic) / ((other[word] + 0.5) / len(ordinary))
-        if len(word) > 2 and k >= LEAST and times > RATIO and k * np.log(times) >= STRENGTH:
-            found.add(word)
-    return found
+    """The grams whose document frequency marks toxic text most strongly."""
+    own, other = (Counter(g for t in texts for g in {g for w in set(_words(t)) for g in _grams(w)}) for texts in (toxic, ordinary))
+    strength = {}
+    for gram, k in own.items():
+        times = k / len(toxic) / ((other[gram] + 0.5) / len(ordinary))
+        if len(gram) >= GRAM - 2 and k >= LEAST and times > RATIO:
+            strength[gram] = k * np.log(times)
+    return set(sorted(strength, key=lambda g: (-strength[g], g))[:TOP])
+
+
+def _marked(word: bytes, marks: set[bytes]) -> list[bytes]:
+    """The parts of a word that marking grams cover."""
+    padded, parts, end = b" " + word + b" ", [], -1
+    for i, gram in enumerate(_grams(word)):
+        if gram in marks:
+            if i < end:
+                parts[-1] += padded[end : i + len(gram)]
+            else:
+                parts.append(gram)
+            end = i + len(gram)
+    return parts
 
 
 def _dictionary(samples: list[bytes], size: int) -> bytes:
     """The content that zstandard's trainer chooses, most useful last; empty if the samples are too few for it."""
-    samples = samples * max(1, -(-256 // max(1, len(samples))))  # the trainer wants some hundreds
+    samples = samples * max(1, -(-1024 // max(1, len(samples))))  # the trainer wants some hundreds
     try:
         return zstandard.train_dictionary(size, samples, k=SEGMENT, d=SUBSTRING).as_bytes() if samples else b""
     except zstandard.ZstdError:
@@ -139,7 +158,7 @@ def train(pairs: list[tuple[str, int]]) -> Model | float:
         return rate
     classes = [[t for t, label in zip(texts, y) if label == c] for c in (0, 1)]
     marks = _marks(classes[1], classes[0])
-    toxic = _dictionary([b" " + w + b" " for t in classes[1] for w in _words(t) if w in marks], SIZE)
+    toxic = _dictionary([part for t in classes[1] for w in _words(t) for part in _marked(w, marks)], SIZE)
     words = sorted({(xxhash.xxh3_64_intdigest(b"%d %d" % (i, j)), b" " + w + b" ") for i, t in enumerate(classes[0]) for j, w in enumerate(_words(t))})
     ordinary = _dictionary([w for _, w in words[:ORDINARY_SAMPLES]], 2 * SIZE)
     if not toxic or not ordinary:
