@@ -13,6 +13,7 @@ from quire.operators import answers, audit, chunks, quality, retrieval, trees
 from quire.plans import oracles as O
 from quire.session import table
 from quire.sources import views as V
+from quire.workspace import Workspace
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,7 +75,7 @@ FUSED = """lex AS (SELECT * FROM (SELECT query_id, doc_id, row_number() OVER (PA
 
 
 def _fused(s, d, keep=25):
-    lex = retrieval.bm25(table(s, d, "documents"), V.questions(s, d), k=50).select("query_id", "doc_id", "rank")
+    lex = Workspace(s, "hits").write(retrieval.bm25(table(s, d, "documents"), V.questions(s, d), k=50).select("query_id", "doc_id", "rank"), "lexical")  # both lists come of it
     order = W.partitionBy("query_id").orderBy(F.desc("doc_id"))
     other = lex.filter("doc_id % 3 = 0").select("query_id", "doc_id", F.row_number().over(order).alias("rank"))
     return retrieval.rrf([lex, other], "doc_id", keep=keep)
@@ -325,7 +326,8 @@ SIBLINGS = r"""nodes AS (SELECT o.*, CASE WHEN depth = 1 THEN '' ELSE regexp_rep
 
 def _sibling_nodes(s, d):
     last = V.pages(s, d).groupBy("book").agg(F.max("page_no").cast("int").alias("last_page"))
-    return trees.sibling_ends(_ordered(s, d).withColumnRenamed("physical_index", "start_index"), last)
+    ordered = Workspace(s, "nodes").write(_ordered(s, d).withColumnRenamed("physical_index", "start_index"), "ordered")  # read once a depth
+    return Workspace(s, "nodes").write(trees.sibling_ends(ordered, last), "ends")
 
 
 @query(O.ORDERED, SIBLINGS, body="SELECT book, structure, start_index, end_index FROM ends")
