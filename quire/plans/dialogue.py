@@ -95,7 +95,7 @@ def heading_trees(s, d):
 
 @query()
 def index_modes(s, d):
-    """How the books of the printed view get their trees; tests hold it against expected rows."""
+    """How the books of the printed view get their trees. Tests hold both ways, and the choice, against literal books."""
     return indexer.summary(indexer.choose(_printed(s, d))[0])
 
 
