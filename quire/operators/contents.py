@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import heading_valid, lines, roman, squeeze, strip
-from quire.operators.retrieval import containing
+from quire.operators.substrings import first_holding
 from quire.operators.trees import contents_runs, upper_median
 
 #: The patterns that mark chapters, divisions, contents lines and outlines.
@@ -134,7 +134,7 @@ def locate_anywhere(titles: DataFrame, pages: DataFrame, head: int = 20) -> Data
     norm = lambda c: F.regexp_replace(F.lower(c), r"(?U)\s+", " ")
     asked = titles.select("book", F.col("ord").alias("query_id"), F.left(norm(strip(F.col("title"))), F.lit(head)).alias("question")).filter("question <> ''")
     texts = pages.select("book", "page_no", norm(F.col("text")).alias("text"))
-    return containing(texts, asked, "page_no", ("book",)).groupBy("book", "query_id").agg(F.min("page_no").alias("found_page")).withColumnRenamed("query_id", "ord")
+    return first_holding(texts, asked).select("book", F.col("query_id").alias("ord"), F.col("page_no").alias("found_page"))
 
 
 def verified(items: DataFrame, pages: DataFrame) -> DataFrame:

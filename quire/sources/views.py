@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,10 +10,11 @@ from quire.operators.running import numbered, running
 from quire.session import table
 
 
-def pages(spark: SparkSession, sf: str) -> DataFrame:
-    """book, page_no, doc_id, chapter, text: a book is a source, a page one of its documents."""
-    docs = table(spark, sf, "documents").select(F.col("source").alias("book"), "doc_id", F.col("lang").alias("chapter"), "text")
-    return numbered(docs, "book", "chapter", "doc_id", "page_no").select("book", "page_no", "doc_id", "chapter", "text")
+def pages(spark: SparkSession, sf: str, **parts: Column) -> DataFrame:
+    """book, page_no, doc_id, chapter, text: a book is a source, a page one of its documents. Of parts, if given, only these expressions move, in place of the text."""
+    kept = [c.alias(n) for n, c in parts.items()] or [F.col("text")]
+    docs = table(spark, sf, "documents").select(F.col("source").alias("book"), "doc_id", F.col("lang").alias("chapter"), *kept)
+    return numbered(docs, "book", "chapter", "doc_id", "page_no").select("book", "page_no", "doc_id", "chapter", *(parts or ["text"]))
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,10 +42,10 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
 
 def toc_items(spark: SparkSession, sf: str) -> DataFrame:
     """Three levels of contents: chapters, a title for each page, and two parts of some pages."""
-    p = pages(spark, sf)
+    p = pages(spark, sf, t=F.substring("text", 1, 60), u=F.substring("text", 61, 30))
     c = F.dense_rank().over(W.partitionBy("book").orderBy("chapter"))
     d = F.row_number().over(W.partitionBy("book", "chapter").orderBy("page_no"))
-    r = p.select("book", "chapter", "page_no", "doc_id", c.alias("c"), d.alias("d"), F.substring("text", 1, 60).alias("t"), F.substring("text", 61, 30).alias("u"))
+    r = p.select("book", "chapter", "page_no", "doc_id", c.alias("c"), d.alias("d"), "t", "u")
     code = lambda *parts: F.concat_ws(".", *[F.col(x).cast("string") for x in parts])
     top = r.groupBy("book", "c", "chapter").agg(F.min("page_no").alias("physical_index")).select(
         "book", code("c").alias("structure"), F.lit(1).alias("depth"), F.col("chapter").alias("title"), "physical_index", F.lit("yes").alias("appear_start")
