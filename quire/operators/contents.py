@@ -11,8 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import heading_valid, lines, roman, squeeze, strip
+from quire.operators.running import latest
 from quire.operators.substrings import first_holding
 from quire.operators.trees import contents_runs, upper_median
+from quire.workspace import Workspace
 
 #: The patterns that mark chapters, divisions, contents lines and outlines.
 CHAPTER = r"CHAPTER\s+(\d+)\b"
@@ -155,10 +157,12 @@ def accuracy(checked: DataFrame, totals: DataFrame, sample: int = 25) -> DataFra
 
 
 def neighbours(checked: DataFrame, totals: DataFrame) -> DataFrame:
-    """(book, ord, before, after): for items not found on their page, the pages of the nearest verified items, or 0 and the last page."""
-    order = W.partitionBy("book").orderBy("ord")
+    """(book, ord, before, after): for items not found on their page, the pages of the nearest verified items, or 0 and the last page.
+
+    An item not found has no page of its own here, so the latest page up to and with it is
+    that of an item before, and likewise from the end backwards.
+    """
     page = F.when(F.coalesce("ok", F.lit(True)), F.col("physical_index"))
-    before = F.last(page, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
-    after = F.first(page, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
-    spread = checked.withColumn("before", before).withColumn("after", after).filter("ok = false").join(totals, "book")
+    items = Workspace(checked.sparkSession, "checked").write(checked.select("book", "ord", (-F.col("ord")).alias("back"), "ok", page.alias("page")), "items")  # read once a block step
+    spread = latest(latest(items, "book", "ord", {"before": F.col("page")}), "book", "back", {"after": F.col("page")}).filter("ok = false").join(totals, "book")
     return spread.select("book", "ord", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.col("n_pages")).cast("int").alias("after"))

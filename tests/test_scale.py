@@ -2,8 +2,9 @@
 
 import random
 
+import numpy as np
 
-from quire.operators import substrings
+from quire.operators import contents, retrieval, substrings
 
 
 def test_first_page_of_short_texts(spark, monkeypatch):
@@ -18,3 +19,18 @@ def test_first_page_of_short_texts(spark, monkeypatch):
     holds = lambda b, q: [k for c, k, t in pages if c == b and t is not None and q in t]
     want = {(b, i, min(holds(b, q))) for b, i, q in asked if b and q and holds(b, q)}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_neighbour_pages(spark):
+    draw = random.Random(3)
+    items = [("b", i, draw.choice((None, 10 * i)), draw.choice((None, True, False))) for i in range(1, 60)]
+    checked = spark.createDataFrame([(b, i, p, ok if p else None) for b, i, p, ok in items], "book string, ord int, physical_index int, ok boolean")
+    got = contents.neighbours(checked, spark.createDataFrame([("b", 999)], "book string, n_pages int"))
+    assert "UnboundedFollowing" not in plan_of(got)  # such a frame is walked to its end for every row
+    good = [(r.ord, r.physical_index) for r in checked.collect() if r.ok is not False and r.physical_index]
+    want = {(i, max((p for o, p in good if o < i), default=0), min((p for o, p in good if o > i), default=999)) for i in [r.ord for r in checked.collect() if r.ok is False]}
+    assert {(r.ord, r.before, r.after) for r in got.collect()} == want and want
