@@ -107,10 +107,9 @@ def budget_select(s, d):
  UNION ALL SELECT query_id, doc_id, 1, 100 + row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id), score * 2 FROM hits WHERE doc_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5) x GROUP BY query_id, doc_id""")
 def union_seen(s, d):
     """Results of repeated searches: a document keeps its first place and its last value."""
-    hits = retrieval.bm25(table(s, d, "documents"), V.questions(s, d), k=None)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    one = hits.filter("rank <= 5").select("query_id", "doc_id", F.lit(0).alias("seq"), F.col("rank").cast("long").alias("pos"), F.col("score").alias("val"))
-    two = hits.filter("doc_id % 2 = 0").withColumn("p", F.row_number().over(order)).filter("p <= 5").select("query_id", "doc_id", F.lit(1).alias("seq"), (F.col("p") + 100).cast("long").alias("pos"), (F.col("score") * 2).alias("val"))
+    hits = retrieval.bm25(table(s, d, "documents"), V.questions(s, d), k=5, among=("true", "doc_id % 2 = 0"))
+    one = hits.filter("list_no = 0").select("query_id", "doc_id", F.lit(0).alias("seq"), F.col("rank").cast("long").alias("pos"), F.col("score").alias("val"))
+    two = hits.filter("list_no = 1").select("query_id", "doc_id", F.lit(1).alias("seq"), (F.col("rank") + 100).cast("long").alias("pos"), (F.col("score") * 2).alias("val"))
     return one.union(two).groupBy("query_id", "doc_id").agg(F.min("pos").alias("pos"), F.max_by("val", "seq").alias("val"))
 
 

@@ -49,3 +49,18 @@ def test_every_query_meets_every_vector(spark, monkeypatch):
         first = sorted(((-float(vectors[q] @ vectors[v]), v) for v in range(120) if v % 17))[:6]
         want |= {(q, v, -s, n) for n, (s, v) in enumerate(first, 1)}
     assert {tuple(r) for r in got.select("query_id", "vec_id", "score", "rank").collect()} == want
+
+
+def test_lexical_lists_are_cut_within_tasks(spark, monkeypatch):
+    draw = random.Random(7)
+    docs = [(i, " ".join(draw.choice(("aa", "bb", "cc", "dd", "x")) for _ in range(draw.randint(0, 6))) if i % 19 else None) for i in range(200)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    asked = spark.createDataFrame([(1, "aa bb zz"), (2, "cc"), (3, "nothing here"), (4, "dd dd Aa")], "query_id long, question string")
+    best = lambda: retrieval.bm25(rows, asked, k=5, among=("true", "doc_id % 3 = 0"))
+    monkeypatch.setattr(retrieval, "CELLS", 30, raising=False)
+    monkeypatch.setattr(retrieval, "BATCH", 9, raising=False)
+    got = best()
+    assert "Join" not in plan_of(got)
+    few = sorted(map(tuple, got.collect()))
+    monkeypatch.setattr(retrieval, "QUERY_ROWS", 0)
+    assert few == sorted(map(tuple, best().collect())) and len(few) == 30
