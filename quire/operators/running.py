@@ -49,12 +49,15 @@ def previous(rows: DataFrame, book: str, order: str, name: str, value: Column, b
     return joined.select(*rows.columns, F.coalesce("_own", "_ahead")["v"].alias(name))
 
 
-def numbered(rows: DataFrame, book: str, group: str, key: str, name: str, block: int = BLOCK) -> DataFrame:
-    """rows with their number from 1 within the book, in the order of group and key (a number)."""
+def numbered(rows: DataFrame, book: str, group: str, key: str, name: str, block: int = BLOCK, totals: dict[str, Column] | None = None) -> DataFrame:
+    """rows with their number from 1 within the book, in the order of group and key (a number), and for each name of totals its running sum along that order."""
+    totals = totals or {}
     at = rows.withColumn("_block", F.expr(f"`{key}` div {block}"))
-    each = at.groupBy(book, group, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    each = at.groupBy(book, group, "_block").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_all_{n}") for n, c in totals.items()])
     ahead = W.partitionBy(book).orderBy(group, "_block").rowsBetween(W.unboundedPreceding, -1)
-    each = each.select(F.col(book).alias("_b"), F.col(group).alias("_g"), F.col("_block").alias("_at"), F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_before"))
-    local = at.withColumn("_own", F.row_number().over(W.partitionBy(book, group, "_block").orderBy(key)))
+    before = lambda c, n: F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(n)
+    each = each.select(F.col(book).alias("_b"), F.col(group).alias("_g"), F.col("_block").alias("_at"), before("_n", "_before"), *[before(f"_all_{n}", f"_before_{n}") for n in totals])
+    own = W.partitionBy(book, group, "_block").orderBy(key)
+    local = at.select("*", F.row_number().over(own).alias("_own"), *[F.sum(c).over(own.rowsBetween(W.unboundedPreceding, W.currentRow)).alias(f"_own_{n}") for n, c in totals.items()])
     joined = local.join(each, F.col(book).eqNullSafe(F.col("_b")) & F.col(group).eqNullSafe(F.col("_g")) & F.col("_block").eqNullSafe(F.col("_at")))
-    return joined.select(*rows.columns, (F.col("_own") + F.col("_before")).cast("int").alias(name))
+    return joined.select(*rows.columns, (F.col("_own") + F.col("_before")).cast("int").alias(name), *[(F.col(f"_own_{n}") + F.col(f"_before_{n}")).alias(n) for n in totals])

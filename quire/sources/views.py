@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quire.operators.running import numbered, running
+from quire.operators.running import numbered
 from quire.session import table
 
 
@@ -19,8 +19,8 @@ def pages(spark: SparkSession, sf: str, **parts: Column) -> DataFrame:
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """A record for each line; the first line of a page of several is a header. Some lines are tables, captions, lists and the like, and some pages are missing or too low."""
-    cut = pages(spark, sf).withColumn("n_lines", F.size(F.split("text", "\n")))
-    placed = running(cut, "book", ["page_no"], {"ahead": F.col("n_lines")})
+    docs = table(spark, sf, "documents").select(F.col("source").alias("book"), "doc_id", F.col("lang").alias("chapter"), "text", F.size(F.split("text", "\n")).alias("n_lines"))
+    placed = numbered(docs, "book", "chapter", "doc_id", "page_no", totals={"ahead": F.col("n_lines")})  # texts move once
     each = placed.select("*", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     head = (F.col("pos") == 0) & (F.col("n_lines") > 1)
     i = F.col("doc_id") * 3 + F.col("pos")

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 
-from quire.operators import contents, retrieval, substrings
+from pyspark.sql import functions as F
+
+from quire.operators import chunks, contents, retrieval, substrings
 
 
 def test_first_page_of_short_texts(spark, monkeypatch):
@@ -64,3 +66,28 @@ def test_lexical_lists_are_cut_within_tasks(spark, monkeypatch):
     few = sorted(map(tuple, got.collect()))
     monkeypatch.setattr(retrieval, "QUERY_ROWS", 0)
     assert few == sorted(map(tuple, best().collect())) and len(few) == 30
+
+
+def test_packing_in_blocks(spark):
+    """Blocks of any size give the same chunks, through headers without text and books without headers."""
+    draw = random.Random(11)
+    rows = []
+    for book in ("b", "c", None):
+        for i in range(60):
+            header = book != "c" and draw.random() < 0.15
+            label = "section_header" if header else draw.choice(("text", "text", "table", "caption", None))
+            rows.append((book, i, f"{book}#{i}", label, i // 9, None if header and draw.random() < 0.4 else draw.choice(("", "Some words. More here.", "x " * 300))))
+    records = spark.createDataFrame(rows, "book string, rec_no int, id string, label string, page_no int, text string").repartition(5)
+    pack = lambda block: sorted(map(str, chunks.pack(records, F.concat(F.lit("> "), F.substring("text", 1, 9)), block=block).collect()))
+    one = pack(1000)
+    assert one == pack(7) == pack(1)
+    got = chunks.pack(records, F.concat(F.lit("> "), F.substring("text", 1, 9)), block=7)
+    by_book = {}
+    for r in got.orderBy("rec_no", "ordinal").collect():
+        by_book.setdefault(r.book, []).append(r)
+    for book, found in by_book.items():
+        assert [r.ordinal for r in found] == list(range(1, len(found) + 1))
+        for r in found:
+            heads = [x for x in rows if x[0] == book and x[3] == "section_header" and x[1] <= r.rec_no]
+            named = [x for x in heads if x[5] is not None]
+            assert r.parent_id == (heads[-1][2] if heads else None) and r.heading == ("> " + named[-1][5][:9] if named else "")
