@@ -14,11 +14,12 @@ from quire.functions.text import heading_valid, lines, roman, squeeze, strip
 from quire.operators.running import latest
 from quire.operators.substrings import first_holding
 from quire.operators.trees import contents_runs, upper_median
-from quire.workspace import Workspace
+from quire.workspace import Workspace, bounded_broadcast
 
-#: The patterns that mark chapters, divisions, contents lines and outlines.
+#: The patterns that mark chapters, divisions, contents lines and outlines, and the pages among which contents are sought.
 CHAPTER = r"CHAPTER\s+(\d+)\b"
 DIVISION = {"PART": (r"(?i)PART\s+(\d+|[IVX]+)\s*:?\s*([^\r\n]{1,60})", 45), "SECTION": (r"(?i)SECTION\s+([IVX]+|\d+)\s*:?\s*([^\r\n]{1,60})", 55)}
+FIRST_PAGES = 45
 NUMBERED = r"[\s.]+\d{1,4}\s*$"
 ENTRY = r"(?imd)^(?:Chapter\s+\d+|Part\s+[IVX\d]+|\d+[\.\)]?)\s+([A-Z][^\r\n]{2,60}?)[\.\s]+(\d{1,4})\s*$"
 OUTLINE_PAGE = r"(?i)\bCHAPTER\s+OUTLINE\b|\bCHAPTER\s*([0-9IVXLCDM]+)\b"
@@ -68,7 +69,7 @@ def divisions(pages: DataFrame, kinds: tuple[str, ...] = ("PART", "SECTION")) ->
     return found.groupBy("book", "label").agg(F.min("page_no").alias("page_no"))
 
 
-def contents_hits(pages: DataFrame, first_pages: int = 45, least: int = 5) -> DataFrame:
+def contents_hits(pages: DataFrame, first_pages: int = FIRST_PAGES, least: int = 5) -> DataFrame:
     """Pages with hit: whether a page within the first ones has enough lines that end in a page number."""
     many = F.size(F.filter(filled_lines(F.col("text")), lambda x: x.rlike(NUMBERED))) >= least
     return pages.filter(F.col("page_no") <= first_pages).withColumn("hit", many)
@@ -76,8 +77,8 @@ def contents_hits(pages: DataFrame, first_pages: int = 45, least: int = 5) -> Da
 
 def contents_text(pages: DataFrame) -> DataFrame:
     """(book, first_page, text) of the longest contents run; at most the first 45 pages of a book are grouped."""
-    runs = contents_runs(contents_hits(pages))
-    inside = pages.join(runs.select("book", "first_page", "last_page"), "book").filter("page_no BETWEEN first_page AND last_page")
+    runs = contents_runs(contents_hits(pages)).select("book", "first_page", "last_page")
+    inside = pages.filter(F.col("page_no") <= FIRST_PAGES).join(runs, "book").filter("page_no BETWEEN first_page AND last_page")  # no other page meets its book's run
     parts = F.sort_array(F.collect_list(F.struct("page_no", "text")))
     return inside.groupBy("book", "first_page").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n").alias("text"))
 
@@ -93,7 +94,8 @@ def offset_by_contents(pages: DataFrame, first_entries: int = 8) -> DataFrame:
     bare = lambda x: F.lower(strip(F.regexp_replace(x, r"(?U)[^\w\s]", "")))
     heads = F.array_join(F.transform(F.slice(lines(F.col("text")), 1, 4), bare), " ")
     keys = contents_entries(pages).filter(F.col("pos") < first_entries).select("book", "pos", "printed", bare(F.col("title")).alias("key")).filter("key <> ''")
-    found = pages.select("book", "page_no", heads.alias("head")).join(keys, "book").filter(F.col("head").contains(F.col("key")))
+    few = bounded_broadcast(Workspace(pages.sparkSession, "keys").write(keys, "keys"))  # a few a book, so that no book's pages must meet in one task
+    found = pages.select("book", "page_no", heads.alias("head")).join(few, "book").filter(F.col("head").contains(F.col("key")))
     first = found.groupBy("book", "pos", "printed").agg((F.min("page_no") - F.col("printed")).alias("diff"))
     return upper_median(first, "diff")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.operators import contents, trees
+from quire.workspace import Workspace
 
 
 def colon_leaders(text: Column) -> Column:
@@ -43,6 +44,7 @@ def choose(pages: DataFrame, cached: DataFrame | None = None, escalate: bool = T
     results: book, status (cached_ok, ok, failed), mode, reasons of the last way that was
     tried; nodes: the chosen trees. cached: (book, ok) of trees that are there already.
     """
+    pages = Workspace(pages.sparkSession, "pages").write(pages.select("book", "page_no", "text"), "pages")  # read by every way, several times
     totals = pages.groupBy("book").agg(F.count(F.lit(1)).alias("n_pages"), F.max("page_no").cast("int").alias("last_page"))
     last = totals.select("book", "last_page")
     done = totals.select("book", F.lit(False).alias("_cached"))

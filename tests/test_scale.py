@@ -91,3 +91,13 @@ def test_packing_in_blocks(spark):
             heads = [x for x in rows if x[0] == book and x[3] == "section_header" and x[1] <= r.rec_no]
             named = [x for x in heads if x[5] is not None]
             assert r.parent_id == (heads[-1][2] if heads else None) and r.heading == ("> " + named[-1][5][:9] if named else "")
+
+
+def test_contents_meet_few_pages(spark):
+    lines = ["Contents"] + [f"{i}. Chapter title {'abcdefgh'[i]} ..... {i + 10}" for i in range(1, 8)]
+    texts = ["cover", "\n".join(lines), "\n".join(lines)] + ["filler"] * 8 + [f"Chapter title {'abcdefgh'[i]}\ntext" for i in range(1, 8)] + ["tail"] * 60
+    pages = spark.createDataFrame([("b", i + 1, t) for i, t in enumerate(texts)], "book string, page_no int, text string")
+    assert plan_of(contents.contents_text(pages)).count("<= 45)") >= 2  # on both sides of the join: the other pages stay where they are
+    found = contents.offset_by_contents(pages)
+    assert "strategy=broadcast" in plan_of(found)  # a book's pages need not meet in one task
+    assert [tuple(r) for r in found.collect()] == [("b", 1)]
