@@ -6,7 +6,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from quire.operators import chunks, contents, retrieval, substrings
+from quire.operators import chunks, contents, retrieval, substrings, trees
 
 
 def test_first_page_of_short_texts(spark, monkeypatch):
@@ -101,3 +101,9 @@ def test_contents_meet_few_pages(spark):
     found = contents.offset_by_contents(pages)
     assert "strategy=broadcast" in plan_of(found)  # a book's pages need not meet in one task
     assert [tuple(r) for r in found.collect()] == [("b", 1)]
+
+
+def test_node_ids_beyond_four_digits(spark):
+    nodes = spark.range(1, 10_101).selectExpr("'b' AS book", "array(CAST(id AS INT)) AS path")
+    ids = {r.path[0]: r.node_id for r in trees.number_nodes(nodes, ["path"]).collect()}
+    assert len(set(ids.values())) == 10_100 and (ids[1], ids[1000], ids[10_000]) == ("0001", "1000", "10000")
